@@ -19,6 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_extract
+
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tokenstore
 
@@ -37,6 +62,49 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {"op7_token_store": op7_token_store, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
-
-ORACLE: dict[str, str] = {}
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embdedup
+
+    return embdedup.links(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {"op2_main_text": op2_main_text, "op4_top_products": op4_top_products, "op5_warc": op5_warc, "op6_language": op6_language, "op10_vector_dedup": op10_vector_dedup, "op7_token_store": op7_token_store, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
+
+_OP2 = """
+WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS body FROM pages),
+b AS (SELECT page_id, url, string_split_regex(regexp_replace(body, '<br>|</?b>', ' ', 'g'), '</?(?:h1|p)>') AS parts FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+  replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'),
+  '\\\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM c
+"""
+
+_OP4 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+_OP5 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN newest END AS refers_to
+FROM o
+"""
+
+_OP10 = """
+WITH RECURSIVE n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS id, vec_id AS root FROM n UNION SELECT l.v, reach.root FROM reach JOIN l ON l.u = reach.id),
+c AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id),
+k AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT n.vec_id, coalesce(k.n_links, 0)::BIGINT AS n_links, c.component_id, n.vec_id = c.component_id AS kept
+FROM n JOIN c ON c.id = n.vec_id LEFT JOIN k ON k.u = n.vec_id
+"""
+
+ORACLE: dict[str, str] = {"op2_main_text": _OP2, "op4_top_products": _OP4, "op5_warc": _OP5, "op10_vector_dedup": _OP10}
