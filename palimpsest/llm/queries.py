@@ -25,6 +25,12 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring
+
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import topk
 
@@ -68,7 +74,7 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.links(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {"op2_main_text": op2_main_text, "op4_top_products": op4_top_products, "op5_warc": op5_warc, "op6_language": op6_language, "op10_vector_dedup": op10_vector_dedup, "op7_token_store": op7_token_store, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
+QUERIES: dict[str, Query] = {"op2_main_text": op2_main_text, "op3_substring_dedup": op3_substring_dedup, "op4_top_products": op4_top_products, "op5_warc": op5_warc, "op6_language": op6_language, "op10_vector_dedup": op10_vector_dedup, "op7_token_store": op7_token_store, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
 
 _OP2 = """
 WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS body FROM pages),
@@ -79,6 +85,18 @@ c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lam
 SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM c
 """
 
+_OP3 = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS least FROM h GROUP BY h),
+g AS (SELECT DISTINCT h.doc_id, unnest(range(i, i + 50)) AS j FROM h JOIN m ON h.h = m.h WHERE m.least < h.doc_id),
+r AS (SELECT doc_id, list(j) AS gone FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, k: NOT list_contains(coalesce(gone, []), k)), ' ')) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
 _OP4 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
@@ -107,4 +125,4 @@ SELECT n.vec_id, coalesce(k.n_links, 0)::BIGINT AS n_links, c.component_id, n.ve
 FROM n JOIN c ON c.id = n.vec_id LEFT JOIN k ON k.u = n.vec_id
 """
 
-ORACLE: dict[str, str] = {"op2_main_text": _OP2, "op4_top_products": _OP4, "op5_warc": _OP5, "op10_vector_dedup": _OP10}
+ORACLE: dict[str, str] = {"op2_main_text": _OP2, "op3_substring_dedup": _OP3, "op4_top_products": _OP4, "op5_warc": _OP5, "op10_vector_dedup": _OP10}
