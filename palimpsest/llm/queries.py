@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html_extract
 
@@ -74,7 +80,7 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.links(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {"op2_main_text": op2_main_text, "op3_substring_dedup": op3_substring_dedup, "op4_top_products": op4_top_products, "op5_warc": op5_warc, "op6_language": op6_language, "op10_vector_dedup": op10_vector_dedup, "op7_token_store": op7_token_store, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
+QUERIES: dict[str, Query] = {"op1_minhash": op1_minhash, "op2_main_text": op2_main_text, "op3_substring_dedup": op3_substring_dedup, "op4_top_products": op4_top_products, "op5_warc": op5_warc, "op6_language": op6_language, "op10_vector_dedup": op10_vector_dedup, "op7_token_store": op7_token_store, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
 
 _OP2 = """
 WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS body FROM pages),
