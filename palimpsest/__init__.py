@@ -1,0 +1 @@
+"""Append-only versioned tables on Spark."""
