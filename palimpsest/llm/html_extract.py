@@ -182,9 +182,25 @@ def _fold(children: list[list]) -> list[list]:
     return children
 
 
+def _grouped(children: list[list], groups: list[list]) -> list[list]:
+    """``children`` with runs that hold the keys of one of ``groups`` as a group too."""
+    for keys in ([c[0] for c in g[3]] for g in groups if g[0] == "()"):
+        at, out = 0, []
+        while at < len(children):
+            run = children[at : at + len(keys)]
+            if [c[0] for c in run] == keys:
+                out.append(["()", False, False, run])
+                at += len(keys)
+            else:
+                out.append(children[at])
+                at += 1
+        children = out
+    return children
+
+
 def align(a: list, b: list) -> list:
     """One node that covers both: matched children are aligned in turn, the others become optional."""
-    x, y = a[3], b[3]
+    x, y = _grouped(a[3], b[3]), _grouped(b[3], a[3])
     if not x or not y:
         rest = [[c[0], True, c[2], c[3]] for c in (x or y)]
         return [a[0], a[1] or b[1], a[2] or b[2], rest]

@@ -28,6 +28,8 @@ UNKNOWN = "und"
 #: The training sample: at most so many documents of a language, so many in all, and of so many characters each.
 PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 1500, 6000, 20_000
 BUCKETS, DIMENSIONS, ORDERS, EPOCHS, RATE = 1 << 15, 12, (2, 3, 4), 6, 8.0
+#: A small sample is gone over more often than EPOCHS times, until so many steps are done.
+LEAST_STEPS = 12_000
 #: Share of known-language documents that calibration lets the rejection cost, and the score that is never rejected.
 REJECTED_SHARE, SURE = 0.002, 0.5
 
@@ -151,8 +153,9 @@ def train(rows: list[tuple[str, str, int]]) -> Model:
     made = [x for x in made if len(x[0])]
     held = [x for x in made if x[3] == 1]
     learned = [x for x in made if x[3] != 1] or made
-    steps, done = EPOCHS * len(learned), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // max(1, len(learned))))
+    steps, done = epochs * len(learned), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(learned)):
             at, share, label, _ = learned[i]
             rate = RATE * (1 - done / steps)

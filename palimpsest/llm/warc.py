@@ -92,7 +92,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 for page_id, url, html, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if out is None:
                         fs.create_dir(inner, recursive=True)
-                        out = fs.open_output_stream(open_fs(uri)[1])
+                        out = fs.open_output_stream(open_fs(uri)[1], compression=None)
                     member = _gzip(_record(page_id, url, (html or "").encode(), digest, first))
                     out.write(member)
                     found.append((page_id, url_key(url), uri, at, len(member), "response" if first is None else "revisit"))
@@ -120,7 +120,7 @@ def build_index(records: DataFrame, folder: str) -> DataFrame:
             if out is None:
                 fs, inner = open_fs(folder)
                 fs.create_dir(inner, recursive=True)
-                out = fs.open_output_stream(open_fs(uri)[1])
+                out = fs.open_output_stream(open_fs(uri)[1], compression=None)
             block = _gzip("\n".join(json.dumps(line) for line in lines).encode())
             out.write(block)
             rows.append({"first_key": lines[0][0], "last_key": lines[-1][0], "block_file": uri, "offset": at, "length": len(block), "n": len(lines)})
@@ -166,7 +166,7 @@ def lookup(directory: DataFrame, url: str) -> list[tuple[dict[str, str], bytes]]
 def _members(uri: str) -> Iterator[bytes]:
     """The gzip members of an archive, read in order."""
     fs, inner = open_fs(uri)
-    with fs.open_input_stream(inner) as f:
+    with fs.open_input_stream(inner, compression=None) as f:
         unpack, parts = zlib.decompressobj(31), []
         while piece := f.read(1 << 20):
             while piece:

@@ -1,7 +1,6 @@
 import pytest
-from pyspark.sql import types as T
 
-DOCS = T.StructType.fromDDL("doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+DOCS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 
 
 @pytest.fixture

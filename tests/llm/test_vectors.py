@@ -1,11 +1,10 @@
 import numpy as np
 import pytest
-from pyspark.sql import types as T
 
 from palimpsest.llm import embdedup, topk
 from palimpsest.llm.components import components
 
-SCHEMA = T.StructType.fromDDL("vec_id BIGINT, embedding ARRAY<FLOAT>, label INT, id INT, v INT, cell INT")
+SCHEMA = "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT, id INT, v INT, cell INT"
 
 
 def frame(spark, rows):
