@@ -11,6 +11,7 @@ import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -37,6 +38,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one number each that a join may broadcast: some 100 MB of an executor's and of the driver's memory.
+FEW = 2_000_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame | None:
+    """``df`` (written, of narrow rows) to be broadcast, if it has at most ``most`` rows; else None: then a join shuffles."""
+    return F.broadcast(df) if df.count() <= most else None
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of ``uri`` (file, hdfs, s3, gs) and the path in it."""
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .storage import materialize
+from .storage import few, materialize
 
 WINDOW, ANCHOR = 50, 10
 LAST_ID = 2**63 - 1
@@ -131,7 +131,11 @@ def _path_rows(docs: DataFrame, counted: bool) -> DataFrame:
 
 def _branching_windows(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """d, w: windows at branches that a smaller document holds too."""
-    wanted = repeated.where("branches").groupBy(F.col("d0").alias("d")).agg(F.collect_set("content").alias("contents"))
+    branching = repeated.where("branches")
+    wanted = branching.groupBy(F.col("d0").alias("d")).agg(F.collect_set("content").alias("contents"))
+    ids = few(branching.select(F.col("d0").alias("d")).distinct())
+    if ids is not None:
+        docs = docs.join(ids, "d", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,10 +196,18 @@ def _kept(p: Paths, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return body, np.append(0, after)[np.searchsorted(stay, p.upto)]
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    keyed = docs.withColumn("d", _order_id("doc_id"))
-    found = repeats(keyed.select("d", "text"))
-    return keyed.join(found, "d", "left")
+def _judged(docs: DataFrame, d: str = "d", contents: str = "contents", windows: str = "windows") -> DataFrame:
+    """``docs`` with what was found for each row.  While ids with findings are few, only their texts are shuffled."""
+    keyed = docs.withColumn(d, _order_id("doc_id"))
+    found = repeats(keyed.select(F.col(d).alias("d"), "text"))
+    found = found.select(F.col("d").alias("__of"), F.col("contents").alias(contents), F.col("windows").alias(windows))
+    of = lambda right, how: keyed.join(right, F.col(d) == F.col("__of"), how)
+    ids = few(found.select("__of"))
+    if ids is None:
+        return of(found, "left").drop("__of")
+    hit = of(ids, "left_semi").join(found, F.col(d) == F.col("__of")).drop("__of")
+    nothing = F.lit(None).cast("array<long>")
+    return hit.unionByName(of(ids, "left_anti").withColumn(contents, nothing).withColumn(windows, nothing))
 
 
 def _judge(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, Paths, np.ndarray]]:
@@ -262,8 +274,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 columns[c] = pa.array(sizes, columns[c].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    d, contents, windows = "__d", "__contents", "__windows"
-    keyed = docs.withColumn(d, _order_id("doc_id"))
-    found = repeats(keyed.select(F.col(d).alias("d"), "text")).select(F.col("d").alias("__of"), F.col("contents").alias(contents), F.col("windows").alias(windows))
-    joined = keyed.join(found, F.col(d) == F.col("__of"), "left").select(*[f"`{n}`" for n in names], contents, windows)
-    return joined.mapInArrow(run, docs.schema)
+    found = _judged(docs, "__d", "__contents", "__windows").select(*[f"`{n}`" for n in names], "__contents", "__windows")
+    return found.mapInArrow(run, docs.schema)

@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialize, new_folder, open_fs
+from .storage import few, materialize, new_folder, open_fs
 
 #: Payloads of fewer bytes are always stored; lines of an index block; gzip level of records.
 LEAST_SHARED, BLOCK_LINES, LEVEL = 1000, 1000, 2
+#: Digests of repeated payloads that are broadcast; more are joined by a shuffle.
+BROADCAST_DIGESTS = 300_000
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -80,6 +82,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     size: Column = F.coalesce(F.octet_length("html"), F.lit(0))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"))
     shared = rows.where(size >= LEAST_SHARED).groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("of", "original")
+    shared = materialize(shared, "warc-shared")
+    shared = few(shared, BROADCAST_DIGESTS) or shared
     typed = rows.join(shared, (F.col("digest") == F.col("of")) & (size >= LEAST_SHARED), "left")
     original = F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))
 
