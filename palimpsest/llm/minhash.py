@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .storage import materialize
+from .storage import few, materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -260,8 +260,8 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signed = materialize(_signed(docs, weights), "signatures")
     alike = materialize(signed.groupBy("s1", "s2").agg(F.min("d").alias("node"), F.first("bands").alias("bands")), "nodes")
     pairs = materialize(candidate_pairs(alike.select(F.col("node").alias("d"), "bands")), "candidates")
-    ids = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
-    vectors = materialize(_vectors(docs, ids).groupBy("d").agg(F.min("v").alias("v")), "elements")
+    ids = materialize(pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct(), "ids")
+    vectors = materialize(_vectors(docs, few(ids) or ids).groupBy("d").agg(F.min("v").alias("v")), "elements")
     links = materialize(similar(vectors, pairs.where("least").select("a", "b"), weights, similarity), "links")
     known = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     of = lambda name: known.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
@@ -285,5 +285,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, unchanged, of one document of each group."""
-    gone = groups(docs, similarity).where("d != root").select(F.col("d").alias("__gone"))
+    gone = materialize(groups(docs, similarity).where("d != root").select(F.col("d").alias("__gone")), "gone")
+    gone = few(gone) or gone
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
