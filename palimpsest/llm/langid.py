@@ -23,10 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .storage import few, materialize
 
 UNKNOWN = "und"
 #: The training sample: at most so many documents of a language, so many in all, and of so many characters each.
 PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 1500, 6000, 20_000
+#: Parts of a language that are ranked apart first.
+SALTS = 64
 BUCKETS, DIMENSIONS, ORDERS, EPOCHS, RATE = 1 << 15, 12, (2, 3, 4), 6, 8.0
 #: A small sample is gone over more often than EPOCHS times, until so many steps are done.
 LEAST_STEPS = 12_000
@@ -125,8 +128,15 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame) -> list[tuple[str, str, int]]:
     """The bounded training sample: (text, lang, fold), of each language those of the smallest hashes."""
     usable = docs.select("doc_id", "text", "lang", fold().alias("fold")).where("fold != 0 and lang is not null and text is not null").where(F.length("text") <= SAMPLE_CHARS)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    ranked = usable.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PER_LANGUAGE)
+    hashed = usable.withColumn("h", F.xxhash64("doc_id"))
+    least = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("h"))
+    narrow = hashed.select("lang", "h", F.pmod("h", F.lit(SALTS)).alias("salt"))
+    for by in (("salt",), ()):  # a language of any size: of each part the least, then of all
+        narrow = narrow.withColumn("nth", least(*by)).where(F.col("nth") <= PER_LANGUAGE)
+    most = materialize(narrow.groupBy("lang").agg(F.max("h").alias("most")), "language-sample")
+    near = hashed.join(few(most, 10_000) or most, "lang").where("h <= most")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    ranked = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PER_LANGUAGE)
     chosen = ranked.orderBy("nth", "lang").limit(SAMPLE_ROWS)
     return [(r.text, r.lang, r.fold) for r in chosen.select("text", "lang", "fold").collect()]
 

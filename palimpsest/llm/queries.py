@@ -120,6 +120,25 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM o
 """
 
+_OP9 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::DOUBLE AS most,
+  ([3.0, 1.0, 2.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
+p AS (SELECT *, (0.75::DOUBLE * sum(most) OVER () - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM s WINDOW before AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(most, weight * coalesce((SELECT arg_min(level, most / weight) FROM p WHERE most > weight * level), 0)) AS target FROM s),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM t),
+r AS (SELECT *, target - copies * source_size AS spare FROM b),
+g AS (SELECT source, h, sum(size) AS words FROM d GROUP BY source, h),
+c AS (SELECT g.source, h, words, sum(words) OVER (PARTITION BY g.source ORDER BY h) AS upto, spare FROM g JOIN r ON g.source IS NOT DISTINCT FROM r.source),
+e AS (SELECT source, min(h) FILTER (upto > spare) AS edge, arg_min(words, h) FILTER (upto > spare) AS words,
+  any_value(spare) - coalesce(max(upto) FILTER (upto <= spare), 0) AS rest FROM c GROUP BY source)
+SELECT doc_id, size, source_size, target,
+  (copies + CASE WHEN edge IS NULL OR h < edge OR (h = edge AND words - rest < rest) THEN 1 ELSE 0 END)::BIGINT * size AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN e ON d.source IS NOT DISTINCT FROM e.source
+"""
+
 _OP10 = """
 WITH RECURSIVE n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
@@ -131,4 +150,4 @@ SELECT n.vec_id, coalesce(k.n_links, 0)::BIGINT AS n_links, c.component_id, n.ve
 FROM n JOIN c ON c.id = n.vec_id LEFT JOIN k ON k.u = n.vec_id
 """
 
-ORACLE: dict[str, str] = {"op2_main_text": _OP2, "op3_substring_dedup": _OP3, "op4_top_products": _OP4, "op5_warc": _OP5, "op10_vector_dedup": _OP10}
+ORACLE: dict[str, str] = {"op2_main_text": _OP2, "op3_substring_dedup": _OP3, "op4_top_products": _OP4, "op5_warc": _OP5, "op9_mixing": _OP9, "op10_vector_dedup": _OP10}
