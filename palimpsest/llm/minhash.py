@@ -13,6 +13,13 @@ bucket's own, each document is paired with the bucket's smallest and with a few
 Pairs are verified by exact weighted Jaccard similarity, first those with the smallest, then only those whose ends are
 not yet connected.  Equal texts are one node from the start.
 
+That settles every bucket of up to NEIGHBOURS + 1 documents and every one whose members became one component.  The
+members of all other buckets (large ones, or cut by a range partition) are open and are joined exactly, by a prefix
+filter (PPJoin's, with weights): in one order of all elements, the rarest first, a similar pair's first common element
+lies in a prefix of both, as what follows must still hold the overlap that the similarity needs.  So pairs are sought
+by the elements of prefixes, first each with a posting list's smallest, then all that are not yet connected, in blocks
+of a list.  No pair of open documents is left out, whatever bands they share.
+
 Defined results: a null or wordless text is its own group; a text under five words only matches equal word sequences;
 rows that share a ``doc_id`` are one document; a null ``doc_id`` is in no group and is kept; an empty table gives no
 rows; the smallest ``doc_id`` of a group stays.  A pair of similarity s shares no band with probability
@@ -40,6 +47,8 @@ BANDS, ROWS = 16, 4
 IDF_BITS, TOP, SPAN, RARE = 16, 40, 8, 1 / 128
 #: Neighbours in a bucket's order that a document is paired with, besides the bucket's smallest.
 NEIGHBOURS = 4
+#: log2 of the hashed counts that order elements, and a posting list's rows in one block of the open documents' join.
+ORDER_BITS, POSTINGS = 20, 1000
 _ELEMENTS = 1 << 16
 
 
@@ -164,8 +173,9 @@ def _signed(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return docs.select("d", "text").where("d is not null and text is not null").mapInArrow(run, "d long, s1 long, s2 long, bands array<long>")
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """nodes: d, bands.  a < b and whether a is the smallest of a bucket, linear in the number of nodes.
+def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes: d, bands.  a < b and whether a is the smallest of a bucket, linear in the number of nodes; and the keys of
+    the buckets in which not every pair is one of these.
 
     Buckets are sorted over range partitions, which may cut one; the pieces are then linked through their smallest."""
     rows = nodes.select("d", F.explode("bands").alias("key")).withColumn("o", F.xxhash64("key", "d"))
@@ -218,7 +228,79 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     edge = found.where("kind = 2").groupBy("key").agg(F.min("a").alias("low"))
     pieces = found.where("kind = 2").select("key", "a").join(edge, "key").where("a > low").select(F.col("low").alias("a"), F.col("a").alias("b"), F.lit(1).cast("long").alias("kind"))
     pairs = found.where("kind < 2").select("a", "b", "kind").unionByName(pieces)
-    return pairs.groupBy("a", "b").agg((F.max("kind") == 1).alias("least"))
+    cut = found.where("kind = 2").groupBy("key").count().where("count > 1")
+    large = rows.groupBy("key").count().where(F.col("count") > NEIGHBOURS + 1)
+    return pairs.groupBy("a", "b").agg((F.max("kind") == 1).alias("least")), large.unionByName(cut).select("key").distinct()
+
+
+def open_nodes(nodes: DataFrame, buckets: DataFrame, known: DataFrame) -> DataFrame:
+    """d: members of those of the buckets (key) whose members are not all of one component.  known: id, root."""
+    rows = nodes.select("d", F.explode("bands").alias("key")).join(few(buckets) or buckets, "key")
+    rows = rows.join(known.withColumnRenamed("id", "d"), "d", "left").select("d", "key", F.coalesce("root", "d").alias("root"))
+    unlike = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return rows.join(unlike, "key", "left_semi").select("d").distinct()
+
+
+def postings(vectors: DataFrame, weights: np.ndarray, similarity: float) -> DataFrame:
+    """vectors: d, v.  Per document and element of its prefix: e, d, w (the document's weight), rest (the weight from the
+    element on), first (whether also in the shorter prefix, in which a document meets those that weigh as much or more).
+
+    Elements that no other document can hold are left out: their hashed count is 1."""
+    size = 1 << ORDER_BITS
+    cell = lambda e: (W.mix(e.astype(np.uint64)) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                np.add.at(total, cell(np.frombuffer(v, "<u4")), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    found = vectors.select("v").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    counts = np.ones(size, np.int64)
+    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                e = np.frombuffer(v, "<u4")
+                n = counts[cell(e)]
+                order = np.lexsort((e, n))
+                e, n = e[order], n[order]
+                rest = np.cumsum(weights[e >> np.uint32(16)][::-1].astype(np.int64))[::-1]
+                total = int(rest[0]) if len(rest) else 0
+                keep = (n > 1) & (rest >= SLACK * similarity * total)
+                first = rest >= SLACK * 2 * similarity / (1 + similarity) * total
+                many = int(keep.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(e[keep].astype(np.int64)), pa.array([d] * many, pa.int64()), pa.array([total] * many, pa.int64()), pa.array(rest[keep]), pa.array(first[keep])], ["e", "d", "w", "rest", "first"])
+
+    return vectors.select("d", "v").mapInArrow(run, "e long, d long, w long, rest long, first boolean")
+
+
+#: The prefix filter's bounds are lower by this, so that rounding drops no pair.
+SLACK = 1 - 1e-9
+
+
+def prefix_pairs(lists: DataFrame, known: DataFrame, similarity: float, stars: bool) -> DataFrame:
+    """lists: as ``postings`` gives them.  a < b, not of one component, that may be similar: all, or (stars) of each list
+    only those with its smallest."""
+    lists = lists.join(known.withColumnRenamed("id", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+    x = lambda cells: cells.select("e", *[F.col(c).alias(f"x_{c}") for c in ("d", "w", "rest", "first", "root")], *(["salt"] if "salt" in cells.columns else []))
+    if stars:
+        least = lists.groupBy("e").agg(F.min(F.struct("d", "w", "rest", "first", "root")).alias("s")).select("e", "s.*")
+        both = lists.join(x(least), "e")
+        meets = F.col("d") != F.col("x_d")
+    else:
+        sizes = lists.groupBy("e").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        sized = lists.join(sizes.select("e", F.ceil(F.col("n") / POSTINGS).cast("int").alias("blocks")), "e")
+        probe = sized.withColumn("salt", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
+        index = sized.where("first").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        both = probe.join(x(index), ["e", "salt"])
+        meets = F.struct("x_w", "x_d") < F.struct(F.col("w").alias("x_w"), F.col("d").alias("x_d"))
+    enough = F.least("rest", "x_rest") * (1 + similarity) >= SLACK * similarity * (F.col("w") + F.col("x_w"))
+    both = both.where(meets & (F.col("root") != F.col("x_root")) & enough)
+    return both.select(F.least("d", "x_d").alias("a"), F.greatest("d", "x_d").alias("b")).distinct()
 
 
 def similar(vectors: DataFrame, pairs: DataFrame, weights: np.ndarray, similarity: float) -> DataFrame:
@@ -259,7 +341,8 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     weights = idf_weights(docs)
     signed = materialize(_signed(docs, weights), "signatures")
     alike = materialize(signed.groupBy("s1", "s2").agg(F.min("d").alias("node"), F.first("bands").alias("bands")), "nodes")
-    pairs = materialize(candidate_pairs(alike.select(F.col("node").alias("d"), "bands")), "candidates")
+    nodes = alike.select(F.col("node").alias("d"), "bands")
+    pairs, buckets = (materialize(df, "candidates") for df in candidate_pairs(nodes))
     ids = materialize(pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct(), "ids")
     vectors = materialize(_vectors(docs, few(ids) or ids).groupBy("d").agg(F.min("v").alias("v")), "elements")
     links = materialize(similar(vectors, pairs.where("least").select("a", "b"), weights, similarity), "links")
@@ -269,7 +352,16 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
     more = materialize(similar(vectors, rest, weights, similarity), "links")
     members = signed.join(alike.select("s1", "s2", "node"), ["s1", "s2"]).where("d != node").select("d", "node")
-    joined = known.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    edges = lambda known, more: known.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    joined = edges(known, more)
+    if not buckets.isEmpty() and not (wide := materialize(open_nodes(nodes, buckets, known), "open")).isEmpty():
+        known = components(joined)
+        wide = materialize(open_nodes(nodes, buckets, known), "open")
+        lists = materialize(postings(vectors.join(few(wide) or wide, "d", "left_semi"), weights, similarity), "postings")
+        for stars in (True, False):
+            found = materialize(prefix_pairs(lists, known, similarity, stars), "candidates")
+            joined = edges(known, materialize(similar(vectors, found, weights, similarity), "links"))
+            known = components(joined) if stars else known
     roots = components(joined.unionByName(members.select(F.col("d").alias("u"), F.col("node").alias("v"))))
     everyone = signed.select("d").distinct()
     return everyone.join(roots.select(F.col("id").alias("d"), "root"), "d", "left").select("d", F.coalesce("root", "d").alias("root"))

@@ -67,6 +67,23 @@ def test_a_large_group_and_cut_buckets(spark, documents):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("postings", [1000, 50])
+def test_pairs_inside_a_template(documents, monkeypatch, postings):
+    """All documents share a long template, but only planted pairs are similar enough."""
+    monkeypatch.setattr(minhash, "POSTINGS", postings, raising=False)
+    template = [f"t{i}" for i in range(200)]
+    rows = []
+    for g in range(200):
+        for side in range(2):
+            rows.append(" ".join(template + [f"g{g}x{j}" for j in range(8)] + [f"g{g}s{side}x{j}" for j in range(19)]))
+    random.Random(6).shuffle(rows)
+    rows = list(enumerate(rows))
+    mate: dict = {}
+    want = {i: mate.setdefault(text.split()[200], i) for i, text in rows}
+    assert brute(rows[:40]) == {i: want[i] for i in range(40)}
+    assert {r.doc_id: r.group_id for r in minhash.near_duplicates(documents(rows)).collect()} == want
+
+
 def test_ids(documents):
     text = " ".join(f"t{i}" for i in range(40))
     docs = documents([(4, text), (4, text), (2, text), (None, text), (9, None)]).selectExpr("*", "1 as d", "2 as root", "3 as v")
