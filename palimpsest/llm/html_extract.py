@@ -16,6 +16,7 @@ no-break space) inside a block becomes one space; a line break element is white
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -224,12 +225,17 @@ def align(a: list, b: list) -> list:
     return [a[0], a[1] or b[1], a[2] or b[2], _fold(out)]
 
 
+#: Pages of different texts that it takes to tell what never changes.
+DISTINCT = 3
+
+
 class Wrapper:
     """The wrapper of some pages of a host, and what is known of each slot by its path: pages, characters, characters
-    in links, the text's checksum if it is always the same (else -1), whether it is marked, whether it is named."""
+    in links, the text's checksum if it is always the same (else -1), whether it is marked, whether it is named.
+    distinct: the smallest digests, DISTINCT at most, of the pages' texts outside marked elements."""
 
-    def __init__(self, pages: int = 0, tree: list | None = None, slots: dict[str, list] | None = None) -> None:
-        self.pages, self.tree, self.slots = pages, tree, slots or {}
+    def __init__(self, pages: int = 0, tree: list | None = None, slots: dict[str, list] | None = None, distinct: list[str] | None = None) -> None:
+        self.pages, self.tree, self.slots, self.distinct = pages, tree, slots or {}, distinct or []
         self._seen: set[str] = set()
 
     def add_page(self, page: str) -> None:
@@ -257,8 +263,14 @@ class Wrapper:
             self.tree = top if self.tree is None else align(self.tree, top)
             if len(self._seen) < 1000:
                 self._seen.add(shape)
+        marked = [path for path, slot in own.items() if slot[3]]
+        texts = sorted((path, slot[2]) for path, slot in own.items() if slot[0] and not any(path == m or path.startswith(m + "/") for m in marked))
+        self._differ([hashlib.blake2b(json.dumps(texts).encode(), digest_size=8).hexdigest()])
         self._slots({path: [1, *slot] for path, slot in own.items()})
 
+    def _differ(self, digests: list[str]) -> None:
+        self.distinct = sorted({*self.distinct, *digests})[:DISTINCT]
+
     def _slots(self, other: dict[str, list]) -> None:
         for path, (pages, chars, links, check, marked, named) in other.items():
             mine = self.slots.get(path)
@@ -276,10 +288,11 @@ class Wrapper:
         if other.tree is not None:
             self.tree = other.tree if self.tree is None else align(self.tree, other.tree)
         self.pages += other.pages
+        self._differ(other.distinct)
         self._slots(other.slots)
 
     def dumps(self) -> str:
-        return json.dumps([self.pages, self.tree, self.slots])
+        return json.dumps([self.pages, self.tree, self.slots, self.distinct])
 
     @classmethod
     def loads(cls, text: str) -> Wrapper:
@@ -300,14 +313,15 @@ class Wrapper:
 
     def plan(self) -> dict:
         """root: the path of the element that holds the article where no page says so itself; same: slots outside
-        articles whose text never changes over at least three pages, so part of the template."""
+        articles whose text never changes over pages of at least DISTINCT different texts, so part of the template;
+        copies of a page, however many, are one text and show no template."""
         marked = {p for p, s in self.slots.items() if s[4]}
 
         def live(path: str) -> bool:
             parts = path.split("/")
             return not any("/".join(parts[: i + 1]) in marked for i in range(len(parts)))
 
-        same = sorted(p for p, s in self.slots.items() if s[0] == self.pages >= 3 and s[3] != -1 and s[1])
+        same = sorted(p for p, s in self.slots.items() if len(self.distinct) >= DISTINCT and s[0] == self.pages and s[3] != -1 and s[1])
         weight = {p: max(0, s[1] - 2 * s[2]) for p, s in self.slots.items() if s[1] and p not in same and live(p)}
         total, root = sum(weight.values()), ""
         while total:

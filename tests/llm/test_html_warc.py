@@ -46,6 +46,22 @@ def test_wrapper_finds_the_article_without_marks():
     assert total.plan() == w.plan() and total.expression() == w.expression()
 
 
+@pytest.mark.parametrize("copies", [1, 2, 3, 40])
+def test_copies_show_no_template(spark, copies):
+    page = "<body><div class=x><h2>Title %d</h2><p>a paragraph of page %d</p></div><footer>seen %d times</footer></body>"
+    rows = [(i, f"http://h.example.com/{i}", page % (1, 1, i)) for i in range(copies)] + [(100 + i, None, page % (2, 2, i)) for i in range(copies)]
+    got = {r.page_id: r.text for r in H.main_text(pages(spark, rows)).collect()}
+    assert got == {i: f"Title {n}\na paragraph of page {n}" for i, n in ((i, 1 if i < 100 else 2) for i, _, _ in rows)}
+
+
+def test_copies_beside_different_pages():
+    page = "<body><div class=y><p>words of page %d</p></div><div class=z>All rights kept</div></body>"
+    w = H.Wrapper()
+    for n in [0] * 5 + [1, 2]:
+        w.add_page(page % n)
+    assert w.plan()["same"] == ["body/div.z"] and H.extract(page % 0, w.plan()) == "words of page 0"
+
+
 def test_wrapper_optional_and_groups():
     w = H.Wrapper()
     w.add_page("<body><dl><dt>a<dd>b<dt>c<dd>d</dl><h1>t</h1></body>")
