@@ -5,8 +5,9 @@ order; one rank's merges are applied to all positions at once, and the lists of
 extended.  A pair that holds a merged symbol has a later rank than that symbol, so one ascending sweep equals the
 library's choice of the lowest rank in each piece, leftmost first.
 
-Defined results: a null or wordless text has no ids and decodes to the empty text; repeated rows are encoded each;
-other columns of the input, whatever their names, are ignored.  Work is a row-wise map without a shuffle.
+Defined results: a null, empty or wordless text has no ids and decodes to the empty text; a very long text is encoded
+whole, alone in its chunk; equal pairs merge leftmost first; repeated rows are encoded each; an empty table gives no
+rows; other columns of the input, whatever their names, are ignored.  Work is a row-wise map without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import words as W
+from .storage import map_batches
 
 _SPACES = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+")
 
 #: Entries kept of the per-worker caches; a full cache is emptied, which costs time but changes nothing.
-WORD_CACHE, PIECE_CACHE = 450_000, 60_000
+WORD_CACHE, PIECE_CACHE = 300_000, 60_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -135,11 +137,11 @@ class Vocabulary:
         return sym[alive], np.diff(ends, prepend=0)
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each piece (normalised, without white space, not empty)."""
+        """Little-endian 32-bit ids of each piece (normalised, without white space, not empty)."""
         raw = [p.encode() for p in pieces]
         sizes = np.array([len(b) for b in raw], np.int64)
         ids, counts = self.merge(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes)
-        body, ends = ids.astype("<u2").tobytes(), (np.cumsum(counts) * 2).tolist()
+        body, ends = ids.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
         return [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -159,7 +161,7 @@ class WordEncoder:
 
     def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], added: dict[str, int]) -> None:
         self.encode_pieces = encode_pieces
-        self.added = {s: np.array([i], "<u2").tobytes() for s, i in added.items()}
+        self.added = {s: np.array([i], "<u4").tobytes() for s, i in added.items()}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -187,7 +189,7 @@ class WordEncoder:
         return found
 
     def of_words(self, keys: list[bytes]) -> list[bytes]:
-        """Ids of each distinct word, as little-endian 16-bit numbers."""
+        """Ids of each distinct word, as little-endian 32-bit numbers."""
         out = list(map(self.words.get, keys))
         missing = [k for k, ids in zip(keys, out, strict=True) if ids is None]
         fresh: dict[bytes, bytes] = {}
@@ -220,8 +222,8 @@ class WordEncoder:
                 continue
             codes, first = W.distinct(data, starts, ends)
             encoded = self.of_words([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-            size = np.array([len(b) for b in encoded], np.int64) // 2
-            flat = np.frombuffer(b"".join(encoded), "<u2")
+            size = np.array([len(b) for b in encoded], np.int64) // 4
+            flat = np.frombuffer(b"".join(encoded), "<u4")
             each = size[codes]
             ids = flat[W.gather_spans((np.cumsum(size) - size)[codes], each)].astype(np.int64)
             before = np.append(0, np.cumsum(each))
@@ -252,7 +254,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", into: str = "to
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(begin, end - begin).columns, lists], [*names, into])
 
-    return docs.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema)
+    return map_batches(docs.select(*[f"`{n}`" for n in names]), run, schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -271,4 +273,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

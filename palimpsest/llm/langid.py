@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .storage import few, materialize
+from .storage import few, map_batches, materialize
 
 UNKNOWN = "und"
-#: The training sample: at most so many documents of a language, so many in all, and of so many characters each.
+#: The training sample: at most so many documents of a language, so many in all, and so many first characters of each.
 PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 1500, 6000, 20_000
-#: Parts of a language that are ranked apart first.
-SALTS = 64
+#: Of each language so many times PER_LANGUAGE documents are expected below the hash bound, of which the least are taken.
+SPARE = 2
 BUCKETS, DIMENSIONS, ORDERS, EPOCHS, RATE = 1 << 15, 12, (2, 3, 4), 6, 8.0
 #: A small sample is gone over more often than EPOCHS times, until so many steps are done.
 LEAST_STEPS = 12_000
@@ -126,15 +126,16 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str, int]]:
-    """The bounded training sample: (text, lang, fold), of each language those of the smallest hashes."""
-    usable = docs.select("doc_id", "text", "lang", fold().alias("fold")).where("fold != 0 and lang is not null and text is not null").where(F.length("text") <= SAMPLE_CHARS)
+    """The bounded training sample: (text, lang, fold), of each language those of the smallest hashes.
+
+    A language's count bounds the hashes, so that no language, however large, brings more than a few thousand rows to
+    the ranking; of longer texts the sample holds the first SAMPLE_CHARS characters."""
+    usable = docs.select("doc_id", "text", "lang", fold().alias("fold")).where("fold != 0 and lang is not null and text is not null")
     hashed = usable.withColumn("h", F.xxhash64("doc_id"))
-    least = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("h"))
-    narrow = hashed.select("lang", "h", F.pmod("h", F.lit(SALTS)).alias("salt"))
-    for by in (("salt",), ()):  # a language of any size: of each part the least, then of all
-        narrow = narrow.withColumn("nth", least(*by)).where(F.col("nth") <= PER_LANGUAGE)
-    most = materialize(narrow.groupBy("lang").agg(F.max("h").alias("most")), "language-sample")
-    near = hashed.join(few(most, 10_000) or most, "lang").where("h <= most")
+    counts = materialize(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    near = hashed.join(few(counts, 10_000) or counts, "lang").where(share * F.col("n") <= SPARE * PER_LANGUAGE)
+    near = near.withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
     ranked = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PER_LANGUAGE)
     chosen = ranked.orderBy("nth", "lang").limit(SAMPLE_ROWS)
@@ -207,7 +208,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             label, score, accepted = model.predict(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), label, score, accepted], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
-    return docs.select("doc_id", (fold() == 0).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    return map_batches(docs.select("doc_id", (fold() == 0).alias("held_out"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -218,4 +219,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(model.predict(batch.column(at))[2])
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

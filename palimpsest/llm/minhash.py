@@ -34,12 +34,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .storage import few, materialize
+from .storage import few, map_batches, materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -50,6 +51,8 @@ NEIGHBOURS = 4
 #: log2 of the hashed counts that order elements, and a posting list's rows in one block of the open documents' join.
 ORDER_BITS, POSTINGS = 20, 1000
 _ELEMENTS = 1 << 16
+#: Sums of counts are added in two steps; the second adds at most so many.
+FAN_IN = 1024
 
 
 def elements(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,6 +89,7 @@ def elements(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def idf_weights(docs: DataFrame) -> np.ndarray:
     """The integer weight of each IDF bucket, from counts over all documents."""
     size, block = 1 << IDF_BITS, 1 << 12
+    names = ["block", "salt", "n", "counts"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(size, np.int64), 0
@@ -97,15 +101,19 @@ def idf_weights(docs: DataFrame) -> np.ndarray:
                 if len(key):  # ascending, as elements of a text do
                     counts += np.bincount(key[np.append(True, key[1:] != key[:-1])] & (size - 1), minlength=size)
         cells = [zlib.compress(counts[i : i + block].astype("<i8").tobytes(), 1) for i in range(0, size, block)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(cells)), pa.int64()), pa.array([n] + [0] * len(cells), pa.int64()), pa.array([b"", *cells], pa.binary())], ["block", "n", "counts"])
+        salt = [TaskContext.get().partitionId() % FAN_IN] * (len(cells) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(cells)), pa.int64()), pa.array(salt, pa.int64()), pa.array([n] + [0] * len(cells), pa.int64()), pa.array([b"", *cells], pa.binary())], names)
 
     def add(table: pa.Table) -> pa.Table:
-        cells = [np.frombuffer(zlib.decompress(c), "<i8") for c in table.column("counts").to_pylist() if c]
-        total = zlib.compress(np.sum(cells, axis=0).astype("<i8").tobytes(), 1) if cells else b""
-        return pa.table([[table.column("block")[0].as_py()], [sum(table.column("n").to_pylist())], [total]], ["block", "n", "counts"])
-
-    schema = "block long, n long, counts binary"
-    rows = sorted(docs.select("text").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect())
+        total = np.zeros(block, np.int64)
+        for cell in table.column("counts").to_pylist():
+            if cell:
+                total += np.frombuffer(zlib.decompress(cell), "<i8")
+        return pa.table([[table.column("block")[0].as_py()], [table.column("salt")[0].as_py()], [sum(table.column("n").to_pylist())], [zlib.compress(total.astype("<i8").tobytes(), 1)]], names)
+
+    schema = "block long, salt long, n long, counts binary"
+    part = map_batches(docs.select("text"), count, schema).groupBy("block", "salt").applyInArrow(add, schema)
+    rows = sorted(part.groupBy("block").applyInArrow(add, schema).collect())
     if not rows:
         return np.full(size, TOP, np.uint8)
     counts = np.concatenate([np.frombuffer(zlib.decompress(bytes(r.counts)), "<i8") for r in rows if r.block >= 0])
@@ -170,7 +178,7 @@ def _signed(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * BANDS)), pa.int32()), pa.array(bands[has].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64)), lists], ["d", "s1", "s2", "bands"])
 
-    return docs.select("d", "text").where("d is not null and text is not null").mapInArrow(run, "d long, s1 long, s2 long, bands array<long>")
+    return map_batches(docs.select("d", "text").where("d is not null and text is not null"), run, "d long, s1 long, s2 long, bands array<long>")
 
 
 def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -224,7 +232,7 @@ def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2]), pa.array(key)], ["a", "b", "kind", "key"])
 
     dealt = rows.repartitionByRange("key", "o").sortWithinPartitions("key", "o").select("key", "d")
-    found = materialize(dealt.mapInArrow(run, "a long, b long, kind long, key long"), "pairs")
+    found = materialize(map_batches(dealt, run, "a long, b long, kind long, key long"), "pairs")
     edge = found.where("kind = 2").groupBy("key").agg(F.min("a").alias("low"))
     pieces = found.where("kind = 2").select("key", "a").join(edge, "key").where("a > low").select(F.col("low").alias("a"), F.col("a").alias("b"), F.lit(1).cast("long").alias("kind"))
     pairs = found.where("kind < 2").select("a", "b", "kind").unionByName(pieces)
@@ -247,35 +255,35 @@ def postings(vectors: DataFrame, weights: np.ndarray, similarity: float) -> Data
 
     Elements that no other document can hold are left out: their hashed count is 1."""
     size = 1 << ORDER_BITS
-    cell = lambda e: (W.mix(e.astype(np.uint64)) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+    cell = lambda e: (W.mix(e) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for v in batch.column(0).to_pylist():
-                np.add.at(total, cell(np.frombuffer(v, "<u4")), 1)
+                np.add.at(total, cell(np.frombuffer(v, "<u8")), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    found = vectors.select("v").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    found = map_batches(vectors.select("v"), count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     counts = np.ones(size, np.int64)
     counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                e = np.frombuffer(v, "<u4")
+                e = np.frombuffer(v, "<u8")
                 n = counts[cell(e)]
                 order = np.lexsort((e, n))
                 e, n = e[order], n[order]
-                rest = np.cumsum(weights[e >> np.uint32(16)][::-1].astype(np.int64))[::-1]
+                rest = np.cumsum(weights[(e >> np.uint64(64 - IDF_BITS)).astype(np.int64)][::-1].astype(np.int64))[::-1]
                 total = int(rest[0]) if len(rest) else 0
                 keep = (n > 1) & (rest >= SLACK * similarity * total)
                 first = rest >= SLACK * 2 * similarity / (1 + similarity) * total
                 many = int(keep.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(e[keep].astype(np.int64)), pa.array([d] * many, pa.int64()), pa.array([total] * many, pa.int64()), pa.array(rest[keep]), pa.array(first[keep])], ["e", "d", "w", "rest", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(e[keep].view(np.int64)), pa.array([d] * many, pa.int64()), pa.array([total] * many, pa.int64()), pa.array(rest[keep]), pa.array(first[keep])], ["e", "d", "w", "rest", "first"])
 
-    return vectors.select("d", "v").mapInArrow(run, "e long, d long, w long, rest long, first boolean")
+    return map_batches(vectors.select("d", "v"), run, "e long, d long, w long, rest long, first boolean")
 
 
 #: The prefix filter's bounds are lower by this, so that rounding drops no pair.
@@ -310,29 +318,28 @@ def similar(vectors: DataFrame, pairs: DataFrame, weights: np.ndarray, similarit
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                weigh = lambda e: int(weights[e >> np.uint32(16)].sum(dtype=np.int64))
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                weigh = lambda e: int(weights[(e >> np.uint64(64 - IDF_BITS)).astype(np.int64)].sum(dtype=np.int64))
                 both = weigh(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (weigh(x) + weigh(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     right = pairs.join(vectors.select(F.col("d").alias("b"), F.col("v").alias("y")), "b")
     both = right.join(vectors.select(F.col("d").alias("a"), F.col("v").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return map_batches(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def _vectors(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """d, v: the distinct elements of the asked documents, 32 bits each, ascending."""
+    """d, v: the distinct elements of the asked documents, 64 bits each, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, data, offsets in W.text_chunks(batch.column(1)):
                 runs, at, *_ = elements(data, offsets)
-                short = (runs >> np.uint64(32)).astype("<u4")
-                cells = [np.unique(short[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                cells = [np.unique(runs[a:b]).astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(cells, pa.binary())], ["d", "v"])
 
-    return docs.select("d", "text").join(ids, "d", "left_semi").mapInArrow(run, "d long, v binary")
+    return map_batches(docs.select("d", "text").join(ids, "d", "left_semi"), run, "d long, v binary")
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

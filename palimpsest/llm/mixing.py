@@ -5,9 +5,10 @@ times, and once more those whose hash is below a threshold.  The threshold comes
 source and the next bits of the hash, the bucket in which the budget ends is found, and only that bucket is refined,
 until it holds one hash.  No document is sorted, and a source of any size costs one row per bucket and task.
 
-Defined results: a null text has size 0; a null source is a source of its own, the last; a null ``doc_id`` hashes as
-the empty text; repeated rows share a hash and are taken together; an empty table gives no rows; a source of size 0
-has target 0.
+Defined results: a null or empty text has size 0, a very long one counts whole; a null source is a source of its own,
+the last; a document with a null ``doc_id`` is hashed by its text; repeated rows, which share a hash, are taken
+together; ties in a source's order can't be, as sources are distinct; an empty table gives no rows; a source of size 0
+has target 0; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +27,22 @@ def word_count(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def document_hash(doc_id: str = "doc_id") -> Column:
-    """The first 60 bits of the MD5 of the id's decimal text."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def document_hash(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The first 60 bits of the MD5 of the id's decimal text, or of the text itself where there is no id."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
+def _ranked(totals: DataFrame) -> DataFrame:
+    """``totals``, one row per source, with ``rank`` from 0 in the sources' order, null last.
+
+    Sources are sorted over range partitions, whose row counts alone meet in one task: they may be as many as domains."""
+    by = F.col("source").asc_nulls_last()
+    placed = totals.repartitionByRange(by).sortWithinPartitions(by).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    placed = materialize(placed, "mix-ranges")
+    parts = placed.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return placed.join(parts, "part").withColumn("rank", F.col("before") + F.col("at") - F.col("first")).drop("part", "at", "first", "before")
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -37,9 +51,8 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     Resharing what exceeds the caps by weight ends where every source has ``min(cap * size, x * weight)``; x is found
     by a few sums over the table of sources, which itself is never collected."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    totals = materialize(totals.withColumn("weight", weight), "mix-sources")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    totals = materialize(_ranked(totals).withColumn("weight", weight).drop("rank"), "mix-sources")
     limit = cap * F.col("source_size")
     budget = share * (totals.agg(F.sum("source_size")).first()[0] or 0)
     level = 0.0
@@ -102,7 +115,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = targets(sized, **options)
     chosen = thresholds(sized, plan).alias("m")
     names = docs.columns
-    kept = docs.alias("d").withColumn("__hash", document_hash("d.doc_id")).join(chosen, same(F.col("d.source"), F.col("m.source")))
+    kept = docs.alias("d").withColumn("__hash", document_hash("d.doc_id", "d.text")).join(chosen, same(F.col("d.source"), F.col("m.source")))
     copies = (F.col("m.copies") + (F.col("__hash") < F.col("m.limit")).cast("long")).cast("int")
     each = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))
     return kept.select(*[F.col(f"d.`{n}`") for n in names], each.alias("__copy")).drop("__copy")

@@ -6,27 +6,66 @@ Everything that one task writes and another reads lives below the folder that th
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of one Arrow batch between the JVM and Python, unless the session sets a limit of its own.
+BATCH_BYTES = 2 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 _LOCAL: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests), one folder for this session."""
+    """The cluster's shared folder.  Only a session that is one process (tests) gets a folder of its own where none is
+    set: on a cluster a folder of one machine would lose what executors write."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = _LOCAL.setdefault(spark.sparkContext.applicationId, "")
-        if not named:
-            named = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-            spark.sparkContext.setCheckpointDir(named)
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+        named = _LOCAL[app]
     return named.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """``spark`` with Arrow batches bounded in bytes, so that long texts don't add up in a batch of many rows."""
+    if spark.conf.get(_LIMIT, None) is None:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+    return spark
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def _frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    def held(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:  # workers are reused: what a task freed goes back to the system, not to the next stage's worker
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return held
+
+
+def map_batches(df: DataFrame, run: Callable[[Batches], Batches], schema: object) -> DataFrame:
+    """``df.mapInArrow`` whose batches are bounded in bytes and whose workers give memory back after each task."""
+    bounded(df.sparkSession)
+    return df.mapInArrow(_frugal(run), schema)
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 

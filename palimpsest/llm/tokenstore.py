@@ -43,7 +43,7 @@ def library_encoder(path: str) -> bpe.WordEncoder:
 
         def encode(pieces: list[str]) -> list[bytes]:
             shown = (p if p.isascii() and p.isprintable() else "".join(map(letters.__getitem__, p.encode())) for p in pieces)
-            return [np.array([t.id for t in model.tokenize(p)], "<u2").tobytes() for p in shown]
+            return [np.array([t.id for t in model.tokenize(p)], "<u4").tobytes() for p in shown]
 
         added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         _ENCODERS[path] = bpe.WordEncoder(encode, added)

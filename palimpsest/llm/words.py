@@ -7,6 +7,7 @@ character, so splitting bytes equals splitting characters.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,23 +19,24 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEGMENT = 1 << 17
-_POWERS: dict[int, np.ndarray] = {}
 
 #: Bytes of text handled at a time; a longer text is handled alone.
-CHUNK = 3 << 20
+CHUNK = 3 << 19
+
+
+@lru_cache(maxsize=16)
+def _table(base: int) -> np.ndarray:
+    out = np.full(_SEGMENT, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 10)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 1 << 20:
-            _POWERS[base] = have
-    return have[:n]
+    """base**0 .. base**(n-1) modulo 2**64.  What is kept does not grow with ``n``: longer ranges are a table's products."""
+    low = _table(base)
+    if n <= len(low):
+        return low[:n]
+    return np.multiply.outer(powers(pow(base, len(low), 2**64), -(-n // len(low))), low).reshape(-1)[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -146,7 +148,11 @@ def rolling(words: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     if n < k:
         return np.zeros(0, np.uint64)
     base = (0xD1342543DE82EF95 + 2 * seed * 0xA24BAED4963EE407) % 2**64 | 1
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(words * powers(base, n), out=total[1:])
-    return mix((total[k:] - total[:-k]) * powers(pow(base, -1, 2**64), n)[: n - k + 1])
+    out, have = words, 1
+    for bit in bin(k)[3:]:  # runs of 2 * have from two of have, and one word more where k's next bit is set
+        out = out[: len(out) - have] * np.uint64(pow(base, have, 2**64)) + out[have:]
+        have *= 2
+        if bit == "1":
+            out = out[:-1] * np.uint64(base) + words[have:]
+            have += 1
+    return mix(out)
