@@ -159,6 +159,9 @@ class WordEncoder:
     Normalising (NFC, lower case character by character) and splitting never reach over ASCII white space, so a text's
     ids are those of its words in turn.  ``encode_pieces`` gives the ids of pieces that no cache holds."""
 
+    #: Whether lower case and sure piece ends may be applied to a chunk before its words are told apart.
+    folds = True
+
     def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], added: dict[str, int]) -> None:
         self.encode_pieces = encode_pieces
         self.added = {s: np.array([i], "<u4").tobytes() for s, i in added.items()}
@@ -192,27 +195,29 @@ class WordEncoder:
         """Ids of each distinct word, as little-endian 32-bit numbers."""
         out = list(map(self.words.get, keys))
         missing = [k for k, ids in zip(keys, out, strict=True) if ids is None]
-        fresh: dict[bytes, bytes] = {}
         if missing:
-            cut = [self._split(k.decode()) for k in missing]
-            new = list(dict.fromkeys(p for parts in cut for p in parts if isinstance(p, str) and p not in self.pieces))
-            table = dict(zip(new, self.encode_pieces(new), strict=True)) if new else {}
-            for k, parts in zip(missing, cut, strict=True):
-                fresh[k] = b"".join(p if isinstance(p, bytes) else table[p] if p in table else self.pieces[p] for p in parts)
-            if len(self.pieces) + len(table) > PIECE_CACHE:
-                self.pieces.clear()
-            self.pieces |= dict(list(table.items())[:PIECE_CACHE])
+            fresh = dict(zip(missing, self.of_new(missing), strict=True))
             out = [fresh[k] if ids is None else ids for k, ids in zip(keys, out, strict=True)]
             if len(self.words) + len(fresh) > WORD_CACHE:
                 self.words.clear()
             self.words |= dict(list(fresh.items())[:WORD_CACHE])
         return out
 
+    def of_new(self, words: list[bytes]) -> list[bytes]:
+        cut = [self._split(k.decode()) for k in words]
+        new = list(dict.fromkeys(p for parts in cut for p in parts if isinstance(p, str) and p not in self.pieces))
+        table = dict(zip(new, self.encode_pieces(new), strict=True)) if new else {}
+        out = [b"".join(p if isinstance(p, bytes) else table[p] if p in table else self.pieces[p] for p in parts) for parts in cut]
+        if len(self.pieces) + len(table) > PIECE_CACHE:
+            self.pieces.clear()
+        self.pieces |= dict(list(table.items())[:PIECE_CACHE])
+        return out
+
     def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, offsets of each row's ids) for runs of rows."""
         for begin, end, data, offsets in W.text_chunks(texts):
             raw, breaks = data.tobytes(), None
-            if b"<|" not in raw:  # no added token: lower case and sure piece ends first, as that makes fewer distinct words
+            if self.folds and b"<|" not in raw:  # no added token: lower case and sure piece ends first, as that makes fewer distinct words
                 data = _LOWER[data]
                 raw, kind = data.tobytes(), _KIND[data]
                 breaks = np.flatnonzero(kind[1:] * kind[:-1] == 2) + 1

@@ -1,16 +1,18 @@
 """Token ids as Parquet list columns for selective reads (operator 7).
 
-Documents are range-partitioned and sorted by ``doc_id``; each partition becomes one file whose ids are delta-encoded
-lists, with row groups of a set number of ids and page indexes.  Files are written under a name of the attempt and
-only count through the manifest that the tasks return, so a task that runs twice does no harm.
-
-Defined results: a null or empty text holds the end id alone; a null ``doc_id`` sorts first; rows of one ``doc_id``
-are ordered by text; repeated rows are stored each; an empty table has a manifest without rows; other columns are not
-stored.
+Texts are encoded where they are read, by the tokenizers library; only ids are shuffled.  Documents are range-partitioned
+and sorted by ``doc_id``; each partition becomes one file whose ids are delta-encoded lists, with row groups of a set
+number of ids and page indexes.  Files are written under a name of the attempt and only count through the manifest that
+the tasks return, so a task that runs twice does no harm.
+
+Defined results: a null or empty text holds the end id alone; a very long text is one list, whole; a null ``doc_id``
+sorts first; rows of one ``doc_id`` are ordered by their ids' bytes; repeated rows are stored each; an empty table has a
+manifest without rows; other columns, whatever their names, are not stored.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,35 +20,48 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .storage import materialize, new_folder, open_fs
+from .storage import map_batches, materialize, new_folder, open_fs
 
 END_ID = 1
 #: Ids in a row group, and bytes in a page: what a selective read takes at least.
 GROUP_IDS, PAGE_BYTES = 1 << 20, 64 << 10
+#: Words in one call of the library.
+BATCH_WORDS = 4096
 
 _ENCODERS: dict[str, bpe.WordEncoder] = {}
 
 
-def library_encoder(path: str) -> bpe.WordEncoder:
-    """Pieces are encoded by the tokenizers library's own model."""
-    if path not in _ENCODERS:
+class LibraryEncoder(bpe.WordEncoder):
+    """Words are encoded, white space apart, by the tokenizers library as it is: normalising, added tokens, splitting."""
+
+    folds = False
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        model, letters = tokenizer.model, bpe.byte_alphabet()
+        super().__init__(lambda pieces: [], {})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
 
-        def encode(pieces: list[str]) -> list[bytes]:
-            shown = (p if p.isascii() and p.isprintable() else "".join(map(letters.__getitem__, p.encode())) for p in pieces)
-            return [np.array([t.id for t in model.tokenize(p)], "<u4").tobytes() for p in shown]
+    def of_new(self, words: list[bytes]) -> list[bytes]:
+        out = []
+        for i in range(0, len(words), BATCH_WORDS):
+            found = self.tokenizer.encode_batch([w.decode() for w in words[i : i + BATCH_WORDS]], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in found]
+        return out
 
-        added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        _ENCODERS[path] = bpe.WordEncoder(encode, added)
+
+def library_encoder(path: str) -> bpe.WordEncoder:
+    """This worker's encoder of a tokenizer file."""
+    if path not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        _ENCODERS[path] = LibraryEncoder(path)
     return _ENCODERS[path]
 
 
@@ -80,26 +95,47 @@ class _FileWriter:
         self.out.close()
 
 
-MANIFEST = "path string, first_id long, last_id long, n_docs long, n_ids long"
+MANIFEST = "part int, path string, first_id long, last_id long, n_docs long, n_ids long"
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """doc_id, ids: the ids of each text and the end id, as little-endian 32-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = library_encoder(tokenizer)
+        for batch in batches:
+            for begin, end, ids, offsets in words.chunks(batch.column(1)):
+                body = np.insert(ids, offsets[1:], end_id).astype("<u4")
+                places = pa.array((offsets + np.arange(len(offsets))) * 4, pa.int32())
+                cells = pa.BinaryArray.from_buffers(pa.binary(), end - begin, [None, places.buffers()[1], pa.py_buffer(body)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), cells], ["doc_id", "ids"])
+
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids binary")
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
     """Encode and store ``docs``; the manifest: a row per file with its id range, counts and ``start``, its first id's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, out = library_encoder(tokenizer), None
+        out = None
         for batch in batches:
-            for begin, end, ids, offsets in words.chunks(batch.column(1)):
-                out = out or _FileWriter(folder)
-                ends = offsets[1:]
-                out.add(batch.column(0).slice(begin, end - begin), np.insert(ids, ends, end_id), offsets + np.arange(len(offsets)))
+            if not batch.num_rows:
+                continue
+            out = out or _FileWriter(folder)
+            cells = batch.column(1)
+            offsets = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
+            ids = np.frombuffer(cells.buffers()[2], "<u4")[offsets[0] // 4 : offsets[-1] // 4]
+            out.add(batch.column(0), ids, (offsets - offsets[0]) // 4)
         if out:
             out.close()
-            yield pa.RecordBatch.from_pylist([{"path": out.uri, "first_id": out.first, "last_id": out.last, "n_docs": out.rows, "n_ids": out.ids}], pa.schema([("path", pa.string()), *((n, pa.int64()) for n in ("first_id", "last_id", "n_docs", "n_ids"))]))
-
-    dealt = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = materialize(dealt.mapInArrow(run, MANIFEST), "token-manifest")
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+            row = {"part": TaskContext.get().partitionId(), "path": out.uri, "first_id": out.first, "last_id": out.last, "n_docs": out.rows, "n_ids": out.ids}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("path", pa.string()), *((n, pa.int64()) for n in ("first_id", "last_id", "n_docs", "n_ids"))]))
+
+    by = [F.col("doc_id").asc_nulls_first(), F.col("ids")]
+    ids = materialize(encoded(docs, tokenizer, end_id), "token-ids")  # ranges are sampled first: nothing is encoded twice
+    dealt = ids.repartitionByRange(*by).sortWithinPartitions(*by)
+    manifest = materialize(map_batches(dealt, run, MANIFEST), "token-manifest")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
@@ -151,8 +187,9 @@ def _read(manifest: DataFrame, low: int | None, high: int | None, column: str, m
                             out = out.filter(pa.array(((ids >= (low if low is not None else ids.min())) & (ids <= (high if high is not None else ids.max()))).to_numpy()))
                         yield out
 
-    files = manifest.select("path", "start").repartition(F.col("path"))
-    return files.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+    files = manifest.select("path", "start")
+    files = files.repartition(max(1, files.count()))  # a task per file: a set number is not coalesced
+    return map_batches(files, run, f"doc_id long, start long, n_tokens long, {column}")
 
 
 def store_and_check(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:

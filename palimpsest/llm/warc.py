@@ -1,12 +1,16 @@
 """WARC archives with a two-level capture index (operator 5).
 
 Each task writes one archive of its records, every record a gzip member of its own, and returns their places.  The
-index sorts captures by reversed-host URL key into compressed blocks; a sparse directory keeps each block's first and
-last key.  A lookup narrows the directory, binary-searches it and the block, and reads only that block and that record.
-
-Defined results: null html is an empty payload; a null or malformed url is indexed under its text as it is; a null
-``page_id`` is never the record that others refer to; rows that share the largest ``page_id`` of equal payloads are
-all responses; an empty table has no archives.
+index sorts captures by reversed-host URL key into compressed blocks; each index file ends with its part of the sparse
+block directory (each block's first key and place), and a root row per file names its key range.  A lookup picks the
+files by their range, binary-searches the directory and then the block, and reads only that block and those records.
+Reading everything back takes the same way: blocks are dealt to tasks, which read their lines and then the records by
+range, neighbours in an archive at once.
+
+Defined results: null or empty html is an empty payload; a very long payload is one record, whole; a null or malformed
+url is indexed under its text as it is; a null ``page_id`` is never the record that others refer to; rows that share the
+largest ``page_id`` of equal payloads are all responses; repeated rows are records of their own; an empty table has no
+archives; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import few, materialize, new_folder, open_fs
+from .storage import few, map_batches, materialize, new_folder, open_fs
 
 #: Payloads of fewer bytes are always stored; lines of an index block; gzip level of records.
 LEAST_SHARED, BLOCK_LINES, LEVEL = 1000, 1000, 2
+#: Bytes between two records of an archive, and in all, that are still one read; tasks that read everything back.
+GAP, AT_ONCE, MOST_TASKS = 64 << 10, 8 << 20, 100_000
 #: Digests of repeated payloads that are broadcast; more are joined by a shuffle.
 BROADCAST_DIGESTS = 300_000
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -106,29 +112,34 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             if out:
                 out.close()
 
-    return materialize(typed.select("page_id", "url", "html", "digest", original.alias("original")).mapInArrow(run, RECORDS), "warc-records")
+    return materialize(map_batches(typed.select("page_id", "url", "html", "digest", original.alias("original")), run, RECORDS), "warc-records")
+
+
+ROOT = "first_key string, last_key string, index_file string, offset long, length long, blocks long, n long"
 
 
-DIRECTORY = "first_key string, last_key string, block_file string, offset long, length long, n long"
+def _lines(rows: list) -> bytes:
+    return _gzip("\n".join(json.dumps(row) for row in rows).encode())
 
 
 def build_index(records: DataFrame, folder: str) -> DataFrame:
-    """Sorted compressed blocks of index lines in ``folder``; the directory of the blocks."""
+    """Sorted compressed blocks of index lines in ``folder``, and after them their directory; a row per index file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uri, out, at, lines = f"{folder}/part-{uuid.uuid4().hex}.idx.gz", None, 0, []
-        rows = []
+        uri, out, at, lines, n = f"{folder}/part-{uuid.uuid4().hex}.idx.gz", None, 0, [], 0
+        directory: list[tuple[str, int, int, int]] = []
+        last = None
 
         def close_block() -> None:
-            nonlocal out, at
+            nonlocal out, at, n, last
             if out is None:
                 fs, inner = open_fs(folder)
                 fs.create_dir(inner, recursive=True)
                 out = fs.open_output_stream(open_fs(uri)[1], compression=None)
-            block = _gzip("\n".join(json.dumps(line) for line in lines).encode())
+            block = _lines(lines)
             out.write(block)
-            rows.append({"first_key": lines[0][0], "last_key": lines[-1][0], "block_file": uri, "offset": at, "length": len(block), "n": len(lines)})
-            at += len(block)
+            directory.append((lines[0][0], at, len(block), len(lines)))
+            at, n, last = at + len(block), n + len(lines), lines[-1][0]
             lines.clear()
 
         for batch in batches:
@@ -139,13 +150,16 @@ def build_index(records: DataFrame, folder: str) -> DataFrame:
         if lines:
             close_block()
         if out:
+            tail = _lines(directory)
+            out.write(tail)
             out.close()
-            kinds = [("first_key", pa.string()), ("last_key", pa.string()), ("block_file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("n", pa.int64())]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+            row = {"first_key": directory[0][0], "last_key": last, "index_file": uri, "offset": at, "length": len(tail), "blocks": len(directory), "n": n}
+            kinds = [("first_key", pa.string()), ("last_key", pa.string()), ("index_file", pa.string()), *((x, pa.int64()) for x in ("offset", "length", "blocks", "n"))]
+            yield pa.RecordBatch.from_pylist([row], pa.schema(kinds))
 
     key = ["url_key", F.col("page_id").asc_nulls_first()]
     dealt = records.select("url_key", "page_id", "archive", "offset", "length", "record_type").repartitionByRange(*key).sortWithinPartitions(*key)
-    return materialize(dealt.mapInArrow(run, DIRECTORY), "warc-directory")
+    return materialize(map_batches(dealt, run, ROOT), "warc-root")
 
 
 def _range(uri: str, offset: int, length: int) -> bytes:
@@ -154,43 +168,65 @@ def _range(uri: str, offset: int, length: int) -> bytes:
         return zlib.decompress(f.read_at(length, offset), 31)
 
 
-def lookup(directory: DataFrame, url: str) -> list[tuple[dict[str, str], bytes]]:
+def _read_lines(uri: str, offset: int, length: int) -> list:
+    return [json.loads(x) for x in _range(uri, offset, length).decode().split("\n")]
+
+
+def lookup(root: DataFrame, url: str) -> list[tuple[dict[str, str], bytes]]:
     """All captures of a url, by page: headers and block."""
     key = url_key(url)
-    blocks = sorted(directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("first_key", "block_file", "offset", "length").collect())
+    files = sorted(root.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("first_key", "index_file", "offset", "length").collect())
     found = []
-    for block in blocks:  # more than one only where one url's captures fill blocks
-        lines = [json.loads(x) for x in _range(block.block_file, block.offset, block.length).decode().split("\n")]
-        keys = [x[0] for x in lines]
-        for line in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-            found.append(parse_record(_range(line[2], line[3], line[4])))
+    for part in files:  # more than one only where one url's captures fill files
+        directory = _read_lines(part.index_file, part.offset, part.length)
+        firsts = [x[0] for x in directory]
+        for _, offset, length, _ in directory[max(0, bisect.bisect_left(firsts, key) - 1) : bisect.bisect_right(firsts, key)]:
+            lines = _read_lines(part.index_file, offset, length)
+            keys = [x[0] for x in lines]
+            for line in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
+                found.append(parse_record(_range(line[2], line[3], line[4])))
     return found
 
 
-def _members(uri: str) -> Iterator[bytes]:
-    """The gzip members of an archive, read in order."""
-    fs, inner = open_fs(uri)
-    with fs.open_input_stream(inner, compression=None) as f:
-        unpack, parts = zlib.decompressobj(31), []
-        while piece := f.read(1 << 20):
-            while piece:
-                parts.append(unpack.decompress(piece))
-                piece = b""
-                if unpack.eof:
-                    yield b"".join(parts)
-                    piece, unpack, parts = unpack.unused_data, zlib.decompressobj(31), []
-        if parts and any(parts):
-            raise ValueError(f"{uri} ends inside a record")
-
-
-def read_archives(records: DataFrame) -> DataFrame:
-    """Per record, from the archives alone: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+def blocks(root: DataFrame) -> DataFrame:
+    """index_file, offset, length, n of every index block, from the directories."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri in batch.column(0).to_pylist():
+            for uri, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = _read_lines(uri, offset, length)
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(found)), *(pa.array([x[i] for x in found], pa.int64()) for i in (1, 2, 3))], ["index_file", "offset", "length", "n"])
+
+    return map_batches(root.select("index_file", "offset", "length"), run, "index_file string, offset long, length long, n long")
+
+
+def _records(lines: list) -> Iterator[bytes]:
+    """The uncompressed records of index lines, archive by archive; neighbours are read at once."""
+    places = sorted((line[2], line[3], line[4]) for line in lines)
+    i = 0
+    while i < len(places):
+        uri = places[i][0]
+        fs, inner = open_fs(uri)
+        with fs.open_input_file(inner) as f:
+            while i < len(places) and places[i][0] == uri:
+                start, j, end = places[i][1], i, places[i][1]
+                while j < len(places) and places[j][0] == uri and places[j][1] - end <= GAP and (j == i or places[j][1] + places[j][2] - start <= AT_ONCE):
+                    end = places[j][1] + places[j][2]
+                    j += 1
+                data = f.read_at(end - start, start)
+                for _, offset, length in places[i:j]:
+                    yield zlib.decompress(data[offset - start : offset - start + length], 31)
+                i = j
+
+
+def read_archives(root: DataFrame) -> DataFrame:
+    """Per record, from index and archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = []
-                for data in _members(uri):
+                for data in _records(_read_lines(uri, offset, length)):
                     head, block = parse_record(data)
                     digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                     size = int(head["X-Payload-Length"])
@@ -200,27 +236,22 @@ def read_archives(records: DataFrame) -> DataFrame:
                             raise ValueError(f"{uri}: the payload of {head['WARC-Record-ID']} is damaged")
                     number = lambda name, head=head: int(head[name]) if head.get(name) else None
                     rows.append((number("X-Page-Id"), size, digest, head["WARC-Type"], number("X-Refers-To-Page")))
-                    if len(rows) == 10_000:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    files = records.select("archive").distinct()
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    n = root.agg(F.sum("blocks")).first()[0] or 1
+    places = blocks(root).select("index_file", "offset", "length")
+    if n > 1:  # a set number of tasks, which is not coalesced
+        places = places.repartition(min(n, MOST_TASKS))
+    return map_batches(places, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Archives and index of ``pages``: (places of the records, directory of the index)."""
+    """Archives and index of ``pages``: (places of the records, root of the index)."""
     folder = new_folder(spark, "warc")
     records = write_archives(pages, f"{folder}/archive")
     return records, build_index(records, f"{folder}/index")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    records, _ = archive(spark, pages)
-    return read_archives(records)
+    return read_archives(archive(spark, pages)[1])

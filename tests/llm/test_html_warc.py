@@ -97,10 +97,13 @@ def test_warc_index(spark, monkeypatch):
     assert warc.url_key("http://example.com") == "com,example)/" and warc.url_key("nothing") == "nothing" and warc.url_key(None) == ""
     rng = random.Random(1)
     rows = [(i, f"http://s{rng.randrange(9)}.example.org/{rng.randrange(150)}", f"<p>{i}") for i in range(2500)]
-    records, directory = warc.archive(spark, pages(spark, rows))
-    assert directory.agg({"n": "sum"}).first()[0] == 2500 and directory.count() >= 3
+    monkeypatch.setattr(warc, "BLOCK_LINES", 100)
+    records, root = warc.archive(spark, pages(spark, rows).repartition(3))
+    assert root.agg({"n": "sum"}).first()[0] == 2500 and warc.blocks(root).count() == root.agg({"blocks": "sum"}).first()[0] >= 25
+    assert warc.read_archives(root).rdd.getNumPartitions() == warc.blocks(root).count()
+    assert sorted(r.page_id for r in warc.read_archives(root).collect()) == list(range(2500))
     for url in (rows[0][1], rows[77][1], "http://none.example.org/"):
-        found = warc.lookup(directory, url)
+        found = warc.lookup(root, url)
         assert [int(h["X-Page-Id"]) for h, _ in found] == sorted(i for i, u, _ in rows if u == url)
         assert all(b.endswith(f"<p>{h['X-Page-Id']}".encode()) for h, b in found)
     assert records.count() == 2500
