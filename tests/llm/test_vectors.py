@@ -22,23 +22,53 @@ def test_top_products(spark):
     x[50:90] = x[7]
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + odd(1000) + [(5, x[5].tolist(), 0)]
     got = sorted(tuple(r) for r in topk.top_products(frame(spark, rows).repartition(5)).select("query_id", "rank", "vec_id", "score").collect())
-    good = {i: np.floor(1024 * np.array(v, np.float64)).astype(int) for i, v, _ in rows if v and all(a is not None and np.isfinite(a) for a in v)}
+    assert got == brute_top(rows)
+
+
+def brute_top(rows, k=10):
+    good = [(i, [int(np.floor(1024 * np.float64(a))) for a in v]) for i, v, _ in rows if i is not None and v and all(a is not None and np.isfinite(a) for a in v)]
     want = []
-    for q, a in good.items():
+    for n, (q, a) in enumerate(good):
         if q % 100 == 0:
-            order = sorted((-int(a @ b), i) for i, b in good.items() if i != q and len(b) == len(a))[:10]
-            want += [(q, n, i, -s) for n, (s, i) in enumerate(order, 1)]
-    assert got == sorted(want)
-
-
-def test_top_products_in_blocks_and_small(spark):
-    rng = np.random.default_rng(2)
-    rows = topk.packed(frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(60, 5)))]))
-    one = sorted(tuple(r) for r in topk.search(rows, rows, 3).collect())
-    assert one == sorted(tuple(r) for r in topk.search(rows, rows, 3, block=7).collect()) and len(one) == 180
-    few = topk.packed(frame(spark, [(0, [1.0, 2.0], 0), (1, [1.0, 1.0], 0)]))
-    assert [tuple(r) for r in topk.search(few, few.where("id = 0")).collect()] == [(0, 1, 1, 1024 * 1024 * 3)]
-    assert topk.top_products(frame(spark, [])).count() == 0
+            scores = [(-sum(x * y for x, y in zip(a, b, strict=True)), i) for m, (i, b) in enumerate(good) if m != n and len(b) == len(a)]
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("bits,gathered", [(12, 1 / 32), (4, 0.0), (5, 0.3)])
+def test_top_products_of_many_blocks(spark, monkeypatch, bits, gathered):
+    """Blocks that are asked again, repeated ids, equal scores."""
+    monkeypatch.setattr(topk, "ROW_BITS", bits)
+    monkeypatch.setattr(topk, "GATHERED", gathered)
+    rng = np.random.default_rng(8)
+    rows = [(i % 350, rng.integers(-3, 4, 6).astype(float).tolist(), 0) for i in range(400)]
+    got = sorted(tuple(r) for r in topk.top_products(frame(spark, rows).repartition(3)).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_top(rows)
+
+
+def test_a_safe_cutoff_saves_work(spark, monkeypatch):
+    """Where queries have near neighbours, few blocks are asked again; those that are have all that may pass."""
+    asked = []
+    scan = topk._scan
+    monkeypatch.setattr(topk, "_scan", lambda rows, block, k, cutoffs, of: (asked.append(of) if cutoffs is not None else None, scan(rows, block, k, cutoffs, of))[1])
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(20, 32))
+    x = base[rng.integers(0, 20, 3000)] + 0.1 * rng.normal(size=(3000, 32))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))]
+    monkeypatch.setattr(topk, "ROW_BITS", 9)
+    got = sorted(tuple(r) for r in topk.top_products(frame(spark, rows)).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_top(rows)
+    assert sum(len(q) for of in asked for q in of.values()) < 0.5 * 30 * 8
+
+
+def test_top_products_of_large_components(spark):
+    """Sums beyond 2**53 and components beyond 32 bits."""
+    rows = [(i, [1e6 + i, -1e5 * (i % 7), 1.0 * i, 2.2e6 * (i % 3 == 0)], 0) for i in range(300)]
+    wide = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>, label INT")
+    got = sorted(tuple(r) for r in topk.top_products(wide).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_top(rows)
+    huge = topk.top_products(spark.createDataFrame([(0, [1e9], 0), (1, [1e9], 0), (2, [-1e9], 0)], wide.schema))
+    assert [tuple(r) for r in huge.collect()] == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63) + 1)]
 
 
 def brute(rows):
