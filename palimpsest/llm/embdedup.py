@@ -1,19 +1,24 @@
 """Near-duplicate vectors by spherical k-means cells and blocked cosine products (operator 10).
 
-Equal vectors of a label are one, with a weight.  Centroids are fitted on a bounded sample; a vector is at home in the
-cell of its nearest centroid, and also visits every cell whose border is no farther away than two linked vectors can
-be, so no link is lost and each is counted from either side once.  A cell is dealt into blocks of bounded size, and a
-task holds one block of queries and one of targets; it returns link counts and a spanning forest, never pairs.
+Equal vectors of a label are one, with a weight.  A label's vectors are dealt into blocks of bounded size, and a task
+compares two blocks.  There spherical k-means splits one of them into cells, again and again, until a cell is small or
+so tight that all its vectors link.  A vector's angle to a cell's center says, by the triangle inequality, whether it
+links with all of the cell (which is then counted without a product), may link with some, or can't: only the second kind
+is compared, cell by cell, in one product each.  No link is lost, and a group of near copies costs one product with each
+center, not one for each pair.  A task returns link counts and the smallest id of each local component, never pairs; the
+smallest id of a whole component is the group's representative.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label,
 link with nothing and are their own component; so are vectors of different lengths; a row without an id has no
-component and is not kept; equal rows link with one another; an empty table gives no rows.
+component and is not kept; equal rows link with one another; ties don't matter, as a link either holds or not; an empty
+table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +27,13 @@ from pyspark.sql import functions as F
 
 from . import vectors
 from .components import components
-from .storage import materialize
+from .storage import map_batches, materialize
 
 COSINE = 0.93
-#: The sample for the centroids, rows meant for a cell, most centroids, and rows of a block.
-SAMPLE, PER_CELL, MOST_CELLS, BLOCK = 20_000, 2_000, 512, 2048
+#: Vectors of a cell that is not split further, parts and sampled vectors of one split, bytes of a block, rows at a time.
+PER_CELL, PARTS, SAMPLE, BLOCK_BYTES, CHUNK = 8, 64, 4096, 16 << 20, 4096
+#: Angles are taken to be so far off at most.
+SLACK = 1e-6
 
 
 def _cleaned(embeddings: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
@@ -49,7 +56,7 @@ def _cleaned(embeddings: DataFrame, vec_id: str, vector: str, label: str) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(cells, pa.binary())], ["vec_id", "label", "digest", "v"])
 
     rows = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("e"))
-    return materialize(rows.mapInArrow(run, "vec_id long, label string, digest binary, v binary"), "vectors")
+    return materialize(map_batches(rows, run, "vec_id long, label string, digest binary, v binary"), "vectors")
 
 
 def _units(cells: list[bytes]) -> np.ndarray:
@@ -58,78 +65,147 @@ def _units(cells: list[bytes]) -> np.ndarray:
     return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
 
 
-def spherical_kmeans(units: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+def spherical_kmeans(units: np.ndarray, k: int, rounds: int = 4, seed: int = 5) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centers = units[rng.choice(len(units), min(k, len(units)), replace=False)]
     for _ in range(rounds):
-        cell = np.concatenate([(units[i : i + 4096] @ centers.T).argmax(axis=1) for i in range(0, len(units), 4096)])
+        cell = (units @ centers.T).argmax(axis=1)
         sums = np.zeros_like(centers)
         np.add.at(sums, cell, units)
         size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-        centers = np.where(size > 0, sums / np.maximum(size, 1e-300), centers)
-    return np.unique(centers, axis=0)
-
-
-def fit_centers(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Centroids for the vector length that is commonest in the sample; other lengths have a single cell."""
-    most = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    k = min(MOST_CELLS, -(-most // PER_CELL))
-    if k < 2:
-        return {}
-    cells = [bytes(r.v) for r in rows.select("v", "digest").orderBy("digest").limit(SAMPLE).select("v").collect()]
-    sizes = [len(c) for c in cells]
-    size = max(set(sizes), key=sizes.count)
-    return {size // 8: spherical_kmeans(_units([c for c in cells if len(c) == size]), k)}
-
-
-def _placed(rows: DataFrame, centers: dict[int, np.ndarray], cosine: float) -> DataFrame:
-    """Each vector at home in one cell and visiting those that a linked vector may be at home in."""
-    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = batch.column(3).to_pylist()
-            sizes = np.array([len(c) for c in cells])
-            row, cell, home = [], [], []
-            for size in np.unique(sizes):
-                at, own = np.flatnonzero(sizes == size), centers.get(size // 8)
-                if own is None:
-                    row.append(at), cell.append(np.zeros(len(at), int)), home.append(np.ones(len(at), bool))
-                    continue
-                apart = np.sqrt(np.maximum(0, ((own[:, None] - own[None]) ** 2).sum(axis=2)))
-                for i in range(0, len(at), 1024):
-                    near = _units([cells[j] for j in at[i : i + 1024]]) @ own.T
-                    best = near.argmax(axis=1)
-                    gap = near[np.arange(len(near)), best][:, None] - near
-                    r, c = np.nonzero(gap <= reach * apart[best])
-                    row.append(at[i : i + 1024][r]), cell.append(c), home.append(best[r] == c)
-            if row:
-                r = np.concatenate(row)
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(r)).columns, pa.array(sizes[r]), pa.array(np.concatenate(cell)), pa.array(np.concatenate(home))], ["label", "id", "weight", "v", "size", "cell", "home"])
-
-    return rows.select("label", "id", "weight", "v").mapInArrow(run, "label string, id long, weight long, v binary, size long, cell long, home boolean")
-
-
-def _compare(table: pa.Table, cosine: float) -> pa.Table:
+        centers = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), centers)
+    return centers
+
+
+def _angle(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1, 1))
+
+
+@dataclass
+class Cells:
+    """Cells of unit vectors: each one's members, and all centers with the members' smallest and largest angle to them."""
+
+    members: list[np.ndarray]
+    centers: np.ndarray
+    nearest: np.ndarray
+    farthest: np.ndarray
+
+
+def split(units: np.ndarray, reach: float) -> Cells:
+    rng = np.random.default_rng(6)
+    done, stack = [], [np.arange(len(units))]
+    while stack:
+        at = stack.pop()
+        own = units[at]
+        center = own.sum(axis=0)
+        size = np.sqrt(center @ center)
+        center = center / size if size > 1e-9 else own[0]
+        angles = _angle(own @ center)
+        parts = []
+        if len(at) > PER_CELL and angles.max() > reach / 3:
+            some = own if len(own) <= SAMPLE else own[rng.choice(len(own), SAMPLE, replace=False)]
+            centers = spherical_kmeans(some, max(2, min(PARTS, -(-len(at) // PER_CELL))))
+            cell = np.concatenate([(own[i : i + CHUNK] @ centers.T).argmax(axis=1) for i in range(0, len(own), CHUNK)])
+            order = np.argsort(cell, kind="stable")
+            parts = np.split(at[order], np.flatnonzero(np.diff(cell[order])) + 1)
+        if len(parts) > 1:
+            stack += parts
+        else:
+            done.append((at, center, angles.min(), angles.max()))
+    members, centers, nearest, farthest = zip(*done, strict=True)
+    return Cells(list(members), np.stack(centers), np.array(nearest), np.array(farthest))
+
+
+def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest index that each of 0 .. n-1 reaches by edges."""
+    root = np.arange(n)
+    while True:
+        a, b = root[left], root[right]
+        if (a == b).all():
+            return root
+        low = np.minimum(a, b)
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        while (further := root[root]) is not root and (further != root).any():
+            root = further
+
+
+@dataclass
+class Compared:
+    """Weighed links of the vectors that asked and of those that were asked, edges between the two and among the asked
+    that connect whatever is linked, and the share of cells in which vectors were compared."""
+
+    links: np.ndarray
+    others: np.ndarray
+    between: tuple[np.ndarray, np.ndarray]
+    among: tuple[np.ndarray, np.ndarray]
+    visited: float
+
+
+def compare(asking: np.ndarray, asking_weight: np.ndarray, units: np.ndarray, weight: np.ndarray, cosine: float, same: bool) -> Compared:
+    """same: both are the same vectors, and none links with itself."""
+    reach = float(np.arccos(cosine))
+    cells = split(units, reach)
+    links, others, visited = np.zeros(len(asking), np.int64), np.zeros(len(units), np.int64), 0
+    left, right, low, high = [], [], [], []
+    home, total = np.empty(len(units), np.int64), np.zeros(len(cells.members), np.int64)
+    for c, m in enumerate(cells.members):
+        home[m], total[c] = c, weight[m].sum()
+    for i in range(0, len(asking), CHUNK):
+        rows, mine = asking[i : i + CHUNK], asking_weight[i : i + CHUNK]
+        angles = _angle(rows @ cells.centers.T)
+        every = angles + cells.farthest <= reach - SLACK
+        some = (angles - cells.farthest <= reach + SLACK) & (cells.nearest - angles <= reach + SLACK) & ~every
+        visited += int(some.sum())
+        for c in np.flatnonzero(every.any(axis=0)).tolist():
+            q, m = np.flatnonzero(every[:, c]), cells.members[c]
+            links[i + q] += total[c]
+            others[m] += mine[q].sum()
+            if same:
+                own = i + q[home[i + q] == c]
+                links[own] -= weight[own]
+            left.append(i + q), right.append(np.full(len(q), m[0]))
+            low.append(np.full(len(m), m[0])), high.append(m)
+        for c in np.flatnonzero(some.any(axis=0)).tolist():
+            q, m = np.flatnonzero(some[:, c]), cells.members[c]
+            hit = rows[q] @ units[m].T >= cosine
+            if same:
+                hit &= (i + q)[:, None] != m[None, :]
+            q, hit = q[keep := hit.any(axis=1)], hit[keep]
+            if not len(q):
+                continue
+            links[i + q] += hit @ weight[m]
+            others[m] += mine[q] @ hit
+            first = hit.argmax(axis=1)
+            left.append(i + q), right.append(m[first])
+            pairs = np.unique((first[:, None] * len(m) + np.arange(len(m))[None, :])[hit])
+            low.append(m[pairs // len(m)]), high.append(m[pairs % len(m)])
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return Compared(links, others, (join(left), join(right)), (join(low), join(high)), visited / max(1, len(asking) * len(cells.members)))
+
+
+def _tile(table: pa.Table, cosine: float) -> pa.Table:
+    """One pair of blocks: id, the smallest id of its local component, links."""
     ids, weight = table.column("id").to_numpy(), table.column("weight").to_numpy()
-    target = table.column("target").to_numpy()
-    units = _units(table.column("v").to_pylist())
-    q, t = np.flatnonzero(~target), np.flatnonzero(target)
-    hit = np.zeros((len(q), len(t)), bool)
-    for i in range(0, len(q), 512):
-        hit[i : i + 512] = units[q[i : i + 512]] @ units[t].T >= cosine
-    hit &= ids[q][:, None] != ids[t][None, :]
-    links = hit @ weight[t] if len(t) else np.zeros(len(q), np.int64)
-    rows, cols = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
-    hit, left, right = hit[np.ix_(rows, cols)], ids[q[rows]], ids[t[cols]]
-    while len(rows):  # smallest id of each local component
-        new_left = np.minimum(left, np.where(hit, right[None, :], left.max()).min(axis=1))
-        new_right = np.minimum(right, np.where(hit, new_left[:, None], right.max()).min(axis=0))
-        if (new_left == left).all() and (new_right == right).all():
-            break
-        left, right = new_left, new_right
-    out = [np.concatenate([ids[q[rows]], ids[t[cols]]]), np.concatenate([left, right]), np.concatenate([links[rows], np.zeros(len(cols), np.int64)])]
-    return pa.table([pa.array(x.astype(np.int64)) for x in out], ["id", "root", "links"])
+    units, asked = _units(table.column("v").to_pylist()), table.column("asked").to_numpy()
+    same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    t = np.arange(len(ids)) if same else np.flatnonzero(asked)
+    q = t if same else np.flatnonzero(~asked)
+    if not (len(q) and len(t)):
+        return pa.table([pa.array([], pa.int64())] * 3, ["id", "root", "links"])
+    found = compare(units[q], weight[q], units[t], weight[t], cosine, same)
+    links = np.zeros(len(ids), np.int64)
+    links[q] += found.links
+    if not same:
+        links[t] += found.others
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    left = place[np.concatenate([q[found.between[0]], t[found.among[0]]])]
+    right = place[np.concatenate([t[found.between[1]], t[found.among[1]]])]
+    root = ids[order][_roots(len(ids), left, right)][place]
+    some = (links > 0) | (root != ids)
+    return pa.table([pa.array(x[some]) for x in (ids, root, links)], ["id", "root", "links"])
 
 
 def links(embeddings: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -137,17 +213,14 @@ def links(embeddings: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id",
     rows = _cleaned(embeddings, vec_id, vector, label)
     alike = rows.where("v is not null").groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("v").alias("v"))
     alike = materialize(alike, "distinct-vectors")
-    placed = materialize(_placed(alike, fit_centers(alike), cosine), "cells")
-    key = ["label", "size", "cell"]
-    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("long")
-    sizes = placed.groupBy(*key).agg(blocks(F.count_if("home")).alias("targets"), blocks(F.count("*")).alias("queries"))
-    dealt = placed.join(sizes.where("targets > 0"), key)
-    number = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    common = [*key, "id", "weight", "v"]
-    targets = dealt.where("home").select(*common, F.lit(True).alias("target"), number("targets").alias("tb"), every("queries").alias("qb"))
-    asking = dealt.select(*common, F.lit(False).alias("target"), every("targets").alias("tb"), number("queries").alias("qb"))
-    found = targets.unionByName(asking).groupBy(*key, "tb", "qb").applyInArrow(lambda t: _compare(t, cosine), "id long, root long, links long")
+    key = ["label", "size"]
+    sized = alike.withColumn("size", F.octet_length("v"))
+    per_block = F.greatest(F.lit(1), F.floor(F.lit(float(BLOCK_BYTES)) / F.col("size")))
+    sizes = sized.groupBy(*key).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / per_block).cast("long")).drop("n")
+    dealt = sized.join(sizes, key).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))  # one block, one copy
+    tiles = dealt.select(*key, "id", "weight", "v", "b", every.alias("o")).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o"), "asked": F.col("b") > F.col("o")})
+    found = tiles.select(*key, "id", "weight", "v", "i", "j", "asked").groupBy(*key, "i", "j").applyInArrow(lambda t: _tile(t, cosine), "id long, root long, links long")
     found = materialize(found, "found-links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))

@@ -89,10 +89,11 @@ def brute(rows):
     return sorted((str(r[0]), len(links.get(n, [])), root[n], r[0] is not None and root[n] == r[0]) for n, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("per_cell,block", [(2000, 2048), (20, 16)])
+@pytest.mark.parametrize("per_cell,block", [(8, 16 << 20), (2, 64 * 20), (1, 1)])
 def test_links(spark, monkeypatch, per_cell, block):
     monkeypatch.setattr(embdedup, "PER_CELL", per_cell)
-    monkeypatch.setattr(embdedup, "BLOCK", block)
+    monkeypatch.setattr(embdedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(embdedup, "CHUNK", 50)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(25, 8))
     x = base[rng.integers(0, 25, 260)] + rng.normal(size=(260, 8)) * rng.choice([0.0, 0.1, 0.3], (260, 1))
@@ -103,6 +104,24 @@ def test_links(spark, monkeypatch, per_cell, block):
     assert sum(r[1] for r in got) > 2000
 
 
+def test_cells_prune_and_lose_nothing():
+    """Of random vectors with groups of near copies: few cells are visited, all links are found, a tight group is one cell."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 64))
+    x[4000:] = x[3] + 0.05 * rng.normal(size=(2000, 64))
+    x[3000:4000] = x[rng.integers(0, 100, 1000)] + rng.choice([0.1, 0.3, 0.4], (1000, 1)) * rng.normal(size=(1000, 64))
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    one = np.ones(len(x), np.int64)
+    got = embdedup.compare(units, one, units, one, 0.93, True)
+    linked = units @ units.T >= 0.93
+    np.fill_diagonal(linked, False)
+    assert (got.links == linked.sum(axis=1)).all() and linked.sum() > 4_000_000
+    assert got.visited < 0.25
+    assert len(got.between[0]) + len(got.among[0]) < linked.sum() / 20
+    a, b = embdedup.compare(units[:2500], one[:2500], units[2500:], one[2500:], 0.93, False), linked[:2500, 2500:]
+    assert (a.links == b.sum(axis=1)).all() and (a.others == b.sum(axis=0)).all()
+
+
 def test_no_vectors(spark):
     assert embdedup.links(frame(spark, [])).count() == 0
 
