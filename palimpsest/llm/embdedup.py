@@ -32,6 +32,8 @@ from .storage import map_batches, materialize
 COSINE = 0.93
 #: Vectors of a cell that is not split further, parts and sampled vectors of one split, bytes of a block, rows at a time.
 PER_CELL, PARTS, SAMPLE, BLOCK_BYTES, CHUNK = 8, 64, 4096, 16 << 20, 4096
+#: Vectors about one of them that make a cell of their own, of more vectors than that.
+CROWD = 64
 #: Angles are taken to be so far off at most.
 SLACK = 1e-6
 
@@ -97,6 +99,16 @@ def split(units: np.ndarray, reach: float) -> Cells:
     while stack:
         at = stack.pop()
         own = units[at]
+        if len(at) > CROWD:  # a large group of near copies is one cell, not many
+            picked = own[rng.choice(len(own), 8, replace=False)]
+            near = _angle(own @ picked.T)
+            crowd = (near <= reach / 3).sum(axis=0)
+            best = crowd.argmax()
+            if crowd[best] >= max(CROWD, len(at) / PARTS):
+                inside = near[:, best] <= reach / 3
+                done.append((at[inside], picked[best], near[inside, best].min(), near[inside, best].max()))
+                stack += [at[~inside]] * bool((~inside).any())
+                continue
         center = own.sum(axis=0)
         size = np.sqrt(center @ center)
         center = center / size if size > 1e-9 else own[0]
