@@ -70,6 +70,8 @@ class TableConfig:
     keyframe_every: int = 100
     compress_depth: int = 1
     enable_zstd: bool = True
+    #: Plain columns whose least and largest value every section keeps, as it does for the order column.
+    index_columns: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if self.keyframe_every < 1:
@@ -82,13 +84,14 @@ class TableConfig:
             raise ConfigurationError(f"compress_depth must be at most {DEPTH_MOST}, got {self.compress_depth}")
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self))
+        return json.dumps({n: v for n, v in asdict(self).items() if n != "index_columns" or v})
 
     @classmethod
     def from_json(cls, text: str) -> TableConfig:
         values = json.loads(text)
         delta = values.pop("delta_columns")
-        return cls(delta_columns=None if delta is None else tuple(delta), **values)
+        index = tuple(values.pop("index_columns", ()))
+        return cls(delta_columns=None if delta is None else tuple(delta), index_columns=index, **values)
 
     def with_values(self, **values: object) -> TableConfig:
         return replace(self, **values)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..conf import EngineConf
 from ..errors import ConfigurationError, NotVersioned
+from ..schema import SEQUENCE
+from . import sections as S
 
 if TYPE_CHECKING:
     from ..sources.table import VersionedTable
@@ -19,7 +21,9 @@ if TYPE_CHECKING:
 
 @dataclass
 class Cache:
-    frames: list[DataFrame] = field(default_factory=list)
+    """What is held of a table's snapshot.  Each frame has the chains that it holds whole; None: all of them."""
+
+    frames: list[tuple[DataFrame, frozenset | None]] = field(default_factory=list)
     entries: int = 0
     size: int = 0
     hits: int = 0
@@ -29,7 +33,21 @@ class Cache:
 
 
 _CACHES: dict[tuple[str, int], Cache] = {}
-_INSERTS = {"hits": 0, "misses": 0, "evictions": 0, "eviction_misses": 0}
+#: Chains up to which a frame that holds only some remembers which.
+_REMEMBERED = 10_000
+
+
+def warmed(table: VersionedTable, group: object = None) -> DataFrame | None:
+    """The held rows that answer a read of ``group`` (None: of all), and the read is counted as a hit or a miss."""
+    cache = _CACHES.get((table.state.table_id, table.state.version))
+    if cache is None:
+        return None
+    for frame, groups in cache.frames:
+        if groups is None or group is not None and group in groups:
+            cache.hits += 1
+            return frame if group is None else frame.where(F.col(f"`{table.roles.group_by}`") == F.lit(group).cast(table.schema[table.roles.group_by].dataType))
+    cache.misses += 1
+    return None
 
 
 def cache_of(table: VersionedTable) -> Cache:
@@ -47,28 +65,31 @@ def _checked(table: object) -> None:
         raise NotVersioned(f'"{table}" is not a versioned table')
 
 
-def _keep(table: VersionedTable, rows: DataFrame, conf: EngineConf) -> None:
-    """Persist decoded rows; values beyond the entry limit are counted as skipped, and the size is bounded."""
+def _stored(table: VersionedTable) -> DataFrame:
+    """All rows from the files, whatever is held."""
+    return S.explode(table.sections(), table.schema, table.state.physical, table.roles)
+
+
+def _keep(table: VersionedTable, rows: DataFrame, groups: frozenset | None, conf: EngineConf) -> None:
+    """Persist decoded rows within the size bound; values beyond the entry limit are counted as skipped.  Rows that do not
+    fit are not held, which counts as no eviction: nothing leaves for them."""
     cache = cache_of(table)
     size = sum((F.coalesce(F.octet_length(F.col(f"`{n}`")), F.lit(0)) for n in table.roles.delta), F.lit(0))
     most = conf.cache_max_entry_kb * 1024
     n, total, skipped = rows.agg(F.count("*"), F.sum(size), F.count_if(size > most)).first()
-    cache.misses += n
     cache.skips += skipped
-    if (total or 0) + cache.size <= conf.cache_size_mb << 20:
+    if n and (total or 0) + cache.size <= conf.cache_size_mb << 20:
         kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        cache.hits += kept.count()
-        cache.frames.append(kept)
-        cache.entries += n - skipped
+        kept.count()
+        cache.frames.append((kept, groups))
+        cache.entries += n
         cache.size += total or 0
-    else:
-        cache.evictions += n
 
 
 def release(table: VersionedTable) -> None:
-    for frame in cache_of(table).frames:
+    cache = _CACHES.pop((table.state.table_id, table.state.version), None)
+    for frame, _ in cache.frames if cache else ():
         frame.unpersist()
-    _CACHES.pop((table.state.table_id, table.state.version), None)
 
 
 def warm_cache(table: VersionedTable, max_rows: int | None = None, max_groups: int | None = None, conf: EngineConf | None = None) -> DataFrame:
@@ -88,13 +109,17 @@ def warm_cache(table: VersionedTable, max_rows: int | None = None, max_groups: i
         else:
             groups = len(taken)
             rows = sum(r.n for r in taken[:max_groups]) + (groups > max_groups)
-        if max_rows is not None and rows > max_rows:
-            kept = table.df().withColumn("__g", key).orderBy("__g").limit(max_rows)
-            rows, groups = kept.agg(F.count("*"), F.count_distinct("__g")).first()
-        warmed = table.df().withColumn("__g", key)
-        if taken is not None:
-            warmed = warmed.where(F.col("__g").isin([r.g for r in taken[:max_groups]]))
-        _keep(table, warmed.drop("__g"), conf or EngineConf())
+        whole = None if taken is None else frozenset(r.g for r in taken[:max_groups])
+        warmed = _stored(table).withColumn("__g", key)
+        if whole is not None:
+            warmed = warmed.where(F.col("__g").isin(list(whole)))
+        if max_rows is not None and (rows or 0) > max_rows:
+            warmed = warmed.orderBy("__g", SEQUENCE).limit(max_rows)
+            found = warmed.groupBy("__g").count()
+            rows, groups = found.agg(F.sum("count"), F.count("*")).first()
+            known = {r.g: r.n for r in counts.limit(_REMEMBERED).collect()} if max_rows <= _REMEMBERED else {}
+            whole = frozenset(r[0] for r in found.collect() if known.get(r[0]) == r[1]) if known else frozenset()
+        _keep(table, warmed.drop("__g"), whole, conf or EngineConf())
     return table.spark.createDataFrame([(int(rows or 0), int(groups or 0), (time.monotonic() - begin) * 1000)], "rows_scanned long, groups_warmed long, duration_ms double")
 
 
@@ -114,22 +139,24 @@ def warm_cache_parallel(table: VersionedTable, max_workers: int | None = None, m
         groups, slots, tasks = chains.agg(F.count("*"), F.sum("hi"), F.sum(F.ceil(F.col("hi") / F.lit(k)))).first()
         workers = conf.warm_cache_workers if max_workers is None else max_workers
         used = 1 if workers == 0 or tasks <= 1 else min(workers, tasks)
-        rows = table.df()
+        rows, whole = _stored(table), None
         if max_groups is not None and table.roles.group_by:
             rows = rows.join(chains.select(F.col("g").alias("__g")), F.col(f"`{table.roles.group_by}`") == F.col("__g"), "left_semi")
-        _keep(table, rows, conf)
+            whole = frozenset(r.g for r in chains.select("g").collect()) if max_groups <= _REMEMBERED else frozenset()
+        _keep(table, rows, whole, conf)
         result = (int(slots), int(groups), int(tasks), int(used))
     return table.spark.createDataFrame([(*result, (time.monotonic() - begin) * 1000)], "rows_warmed long, groups_warmed long, sections_warmed long, workers_used long, duration_ms double")
 
 
 def cache_stats(table: VersionedTable, conf: EngineConf | None = None) -> DataFrame:
+    """What is held of this snapshot; hits and misses are reads (DataFrames made) that held rows did or did not answer."""
     c, conf = cache_of(table), conf or EngineConf()
     row = (c.size, conf.cache_size_mb << 20, c.entries, c.hits, c.misses, c.evictions, c.skips)
     return table.spark.createDataFrame([row], "cache_size_bytes long, cache_max_bytes long, entries_count long, hit_count long, miss_count long, eviction_count long, skip_count long")
 
 
 def insert_cache_stats(table: VersionedTable, conf: EngineConf | None = None) -> DataFrame:
-    """Appends keep no memory between jobs, so no slot is ever in use."""
+    """Appends keep no memory between jobs: no slot is ever in use, and nothing is there to hit, miss or evict."""
     conf = conf or EngineConf()
-    row = (0, conf.insert_cache_slots, *_INSERTS.values())
+    row = (0, conf.insert_cache_slots, 0, 0, 0, 0)
     return table.spark.createDataFrame([row], "slots_in_use long, total_slots long, hits long, misses long, evictions long, eviction_misses long")

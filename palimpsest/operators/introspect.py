@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import SEQUENCE
+from . import sections as S
 
 
 if TYPE_CHECKING:
@@ -59,7 +60,8 @@ def refresh_stats(table: VersionedTable) -> DataFrame:
     roles = table.roles
     size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(f"`{n}`")), F.lit(0)) for n in roles.delta])
     key = F.col(f"`{roles.group_by}`") if roles.group_by else F.lit(0)
-    row = table.df().groupBy(key.alias("g")).agg(F.count("*").alias("n"), F.sum(size).alias("raw")).agg(F.count("*"), F.sum("n"), F.sum("raw")).first()
+    rows = S.explode(table.sections(), table.schema, table.state.physical, roles)  # from the files, whatever is held
+    row = rows.groupBy(key.alias("g")).agg(F.count("*").alias("n"), F.sum(size).alias("raw")).agg(F.count("*"), F.sum("n"), F.sum("raw")).first()
     kept = group_stats(table).agg(F.sum("raw_size_bytes")).first()[0]
     if (row[2] or 0) != (kept or 0):
         from ..errors import CorruptChain
@@ -127,9 +129,16 @@ def get_config(table: VersionedTable) -> DataFrame:
     return table.spark.createDataFrame(rows, "group_by string, order_by string, delta_columns array<string>, keyframe_every int, compress_depth int, enable_zstd boolean")
 
 
-def sampled(table: VersionedTable) -> DataFrame:
-    """Column statistics over decoded rows, as ANALYZE gives them."""
-    return table.df().summary()
+def analyze(table: VersionedTable, share: float = 1.0, seed: int = 1) -> DataFrame:
+    """Statistics of each column, as ANALYZE gives them: column_name, rows, nulls, n_distinct (approximate), avg_width.
+
+    share: of all sections, by a hash of group and place; the others are not decoded."""
+    part = F.pmod(F.xxhash64(table._group_key(), F.col("_base"), F.col("_sec"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    rows = S.explode(table.sections().where(part), table.schema, table.state.physical, table.roles)
+    names = [f.name for f in table.schema.fields]
+    of = lambda n, f: f(F.col(f"`{n}`"))
+    facts = [F.struct(F.lit(n).alias("column_name"), F.count("*").alias("rows"), of(n, lambda c: F.count_if(c.isNull())).alias("nulls"), of(n, F.approx_count_distinct).alias("n_distinct"), of(n, lambda c: F.avg(F.octet_length(c.cast("string")))).alias("avg_width")) for n in names]
+    return rows.agg(F.array(*facts).alias("all")).select(F.explode("all").alias("one")).select("one.*")
 
 
 

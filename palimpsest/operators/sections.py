@@ -1,7 +1,7 @@
 """Sections: the rows of one group from one keyframe to before the next, as one physical row of arrays.
 
 Physical columns: g_<group>, the section's bounds and counts (_lo, _hi, _base, _sec, _k, _epoch, _rows, _keys, _raw,
-_stored, _tags), _seqs, p_<plain> arrays, and for each delta column d_ (blobs), t_ (tags) and r_ (raw sizes) arrays.
+_stored, _tags), least_ and most_<column> of the order column and the indexed ones, _seqs, p_<plain> arrays, and for each delta column d_ (blobs), t_ (tags) and r_ (raw sizes) arrays.
 Filters on the group reach the Parquet scan; columns that a query does not use are neither read nor decoded.
 """
 
@@ -29,6 +29,7 @@ def physical_schema(schema: T.StructType, physical: dict[str, str], roles: Roles
     if roles.group_by:
         out.append(T.StructField(f"g_{physical[roles.group_by]}", schema[roles.group_by].dataType))
     out += [T.StructField(n, T.LongType()) for n in COUNTS] + [T.StructField("_tags", T.DoubleType()), T.StructField("_seqs", T.ArrayType(T.LongType()))]
+    out += [T.StructField(f"{x}_{physical[n]}", schema[n].dataType) for n in roles.indexed for x in ("least", "most")]
     out += [T.StructField(f"p_{physical[n]}", T.ArrayType(schema[n].dataType)) for n in roles.plain]
     for n in roles.delta:
         out += [T.StructField(f"d_{physical[n]}", T.ArrayType(T.BinaryType())), T.StructField(f"t_{physical[n]}", T.ArrayType(T.IntegerType())), T.StructField(f"r_{physical[n]}", T.ArrayType(T.LongType()))]
@@ -155,7 +156,9 @@ def encode(rows: DataFrame, schema: T.StructType, physical: dict[str, str], role
     key = ([group] if group else []) + ["_base", "_sec"]
     names = [roles.group_by] if group else []
     flat = rows.select(*[F.col(f"`{n}`").alias(group) for n in names], "_base", "_sec", F.col(SEQUENCE).alias("_seq"), *[F.col(f"`{n}`").alias(f"p_{physical[n]}") for n in roles.plain], *[F.col(f"`{n}`").alias(f"d_{physical[n]}") for n in roles.delta], *[carry] * bool(carry))
-    out = physical_schema(schema, physical, roles)
+    whole = physical_schema(schema, physical, roles)
+    bounds = {f"{x}_{physical[n]}": f"p_{physical[n]}" for n in roles.indexed for x in ("least", "most")}
+    out = T.StructType([f for f in whole.fields if f.name not in bounds])
     if carry:
         out = out.add(carry, T.LongType())
     first = len(key)
@@ -227,7 +230,14 @@ def encode(rows: DataFrame, schema: T.StructType, physical: dict[str, str], role
             yield sections(pa.Table.from_batches(held))
 
     dealt = flat.repartition(*key).sortWithinPartitions(*key, "_seq")
-    return dealt.mapInArrow(run, out)
+    made = dealt.mapInArrow(run, out)
+    return made.withColumns(_bounds(roles, physical)).select(*whole.names, *[carry] * bool(carry))
+
+
+def _bounds(roles: Roles, physical: dict[str, str]) -> dict[str, Column]:
+    """least_ and most_ columns of sections from their arrays; nulls have no part in them."""
+    least = {f"least_{physical[n]}": F.array_min(f"p_{physical[n]}") for n in roles.indexed}
+    return least | {f"most_{physical[n]}": F.array_max(f"p_{physical[n]}") for n in roles.indexed}
 
 
 def cut_before(sections: DataFrame, limit: Column, roles: Roles, physical: dict[str, str]) -> DataFrame:
@@ -238,7 +248,7 @@ def cut_before(sections: DataFrame, limit: Column, roles: Roles, physical: dict[
     arrays = ["_seqs", *[f"p_{physical[n]}" for n in roles.plain], *[f"{x}_{n}" for n in names for x in "dtr"]]
     cut = sections.where(F.coalesce(F.col("_lo") < limit, F.lit(True))).withColumn("__n", F.when(some, left).otherwise(F.col("_rows")).cast("int"))
     cut = cut.withColumns({a: F.when(F.col("__n") < F.col("_rows"), F.slice(a, F.lit(1), F.col("__n"))).otherwise(F.col(a)) for a in arrays})
-    return recounted(cut.drop("__n"), names)
+    return recounted(cut.drop("__n"), names).withColumns(_bounds(roles, physical))
 
 
 def recounted(sections: DataFrame, names: list[str]) -> DataFrame:

@@ -4,16 +4,19 @@ engine; the SQL beside it says the same over the raw Parquet."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..conf import TableConfig
 from ..functions import json_ops
 from ..operators import cache, history, introspect
 from ..schema import SEQUENCE
-from ..sources.catalog import Catalog
+from ..sources.catalog import Catalog, version
 from ..sources.store import scratch_root
+from ..sources.table import VersionedTable
 from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +111,20 @@ def as_of_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.as_of(X.built(spark, sf_dir, X.EVENTS), 15)
 
 
+@query(f"SELECT {_E} FROM e WHERE ts BETWEEN (SELECT quantile_disc(ts, 0.4) FROM e) AND (SELECT quantile_disc(ts, 0.5) FROM e)")
+def order_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections whose bounds of the order column are outside are not decoded."""
+    ts = X.rows(spark, sf_dir, X.EVENTS).groupBy("ts").count().withColumn("upto", F.sum("count").over(Window.orderBy("ts")))
+    total = X.rows(spark, sf_dir, X.EVENTS).count()
+    low, high = (ts.where(F.col("upto") >= share * total).agg(F.min("ts")).first()[0] for share in (0.4, 0.5))
+    return X.built(spark, sf_dir, X.EVENTS).df(between={"ts": (low, high)})
+
+
+@query(f"SELECT {_E} FROM e WHERE event_id BETWEEN 300 AND 420 AND user_id <> 3")
+def index_plain_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.built(spark, sf_dir, X.EVENTS, index_columns=("event_id",)).df(between={"event_id": (300, 420)}).where("user_id <> 3")
+
+
 @query("SELECT user_id, event_id FROM e WHERE user_id IN (3, 5, 9) OR rn = 1")
 def or_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.built(spark, sf_dir, X.EVENTS).df().where(F.col("user_id").isin(3, 5, 9) | (F.col(SEQUENCE) == 1)).select("user_id", "event_id")
@@ -182,9 +199,10 @@ def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, n_name FROM o JOIN nation ON o_custkey BETWEEN n_nationkey * 10 AND n_nationkey * 10 + 1")
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")  # 25 rows by definition
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
     low = F.col("n_nationkey") * 10
-    return X.built(spark, sf_dir, X.ORDERS).df().join(F.broadcast(nations), F.col("o_custkey").between(low, low + 1)).select("o_orderkey", "n_name")
+    orders = X.built(spark, sf_dir, X.ORDERS).df()
+    return orders.join(nations, F.col("o_custkey").between(low, low + 1)).select("o_orderkey", "n_name")
 
 
 @query("SELECT conv_id, turn, text FROM c x WHERE turn = (SELECT max(turn) FROM c y WHERE y.conv_id = x.conv_id)")
@@ -256,9 +274,9 @@ def keyframe_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("group_value").cast("long").alias("user_id"), "column_name", "seq", "is_keyframe", "tag")
 
 
-@query("SELECT (epoch_us(ts) - 946684800000000)::BIGINT AS version, rn::BIGINT AS seq, n AS column_name FROM e, (VALUES ('props'), ('event_type')) v(n) WHERE user_id = 7")
+@query("SELECT (epoch_us(ts) - 946684800000000)::BIGINT AS version, rn::BIGINT AS seq, n AS column_name, (rn - 1) % 10 = 0 AS is_keyframe, CASE WHEN (rn - 1) % 10 = 0 THEN 0 ELSE 1 END AS tag FROM e, (VALUES ('props'), ('event_type')) v(n) WHERE user_id = 7")
 def inspect_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return introspect.inspect(X.built(spark, sf_dir, X.EVENTS), 7).select("version", "seq", "column_name")
+    return introspect.inspect(X.built(spark, sf_dir, X.EVENTS), 7).select("version", "seq", "column_name", "is_keyframe", "tag")
 
 
 @query("""SELECT count(*)::BIGINT AS total_rows, count(DISTINCT user_id)::BIGINT AS total_groups,
@@ -279,9 +297,11 @@ def refresh_stats_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return introspect.refresh_stats(X.built(spark, sf_dir, X.EVENTS)).select("groups_scanned", "rows_scanned")
 
 
-@query("SELECT user_id::VARCHAR AS group_value, rn::BIGINT AS seq, n AS column_name FROM e, (VALUES ('props'), ('event_type')) v(n) WHERE rn > 25")
+@query("SELECT user_id::VARCHAR AS group_value, rn::BIGINT AS seq, n AS column_name, (rn - 1) % 10 = 0 AS is_keyframe, CASE WHEN (rn - 1) % 10 = 0 THEN 0 ELSE 1 END AS tag, true AS sized FROM e, (VALUES ('props'), ('event_type')) v(n) WHERE rn > 25")
 def physical_from_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return introspect.physical(X.built(spark, sf_dir, X.EVENTS), from_seq=25).select("group_value", "seq", "column_name")
+    rows = introspect.physical(X.built(spark, sf_dir, X.EVENTS), from_seq=25)
+    sized = F.octet_length("delta_bytes") == F.col("delta_size")
+    return rows.select("group_value", "seq", "column_name", "is_keyframe", "tag", sized.alias("sized"))
 
 
 @query("SELECT count(*)::BIGINT AS rows_scanned, count(DISTINCT user_id)::BIGINT AS groups_warmed FROM e")
@@ -289,6 +309,60 @@ def warm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.warm_cache(X.built(spark, sf_dir, X.EVENTS)).select("rows_scanned", "groups_warmed")
 
 
+@query("SELECT 60::BIGINT AS rows_scanned, count(DISTINCT user_id)::BIGINT AS groups_warmed, 60::BIGINT AS entries_count FROM (SELECT user_id FROM e ORDER BY user_id, rn LIMIT 60)")
+def warm_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit bounds what is held, not only what is reported."""
+    t = X.fresh(spark, sf_dir, X.EVENTS)
+    warmed = cache.warm_cache(t, max_rows=60)
+    return warmed.crossJoin(cache.cache_stats(t)).select("rows_scanned", "groups_warmed", "entries_count")  # one row each
+
+
+@query("SELECT 2::BIGINT AS hit_count, 1::BIGINT AS miss_count, 0::BIGINT AS eviction_count, count(*)::BIGINT AS entries_count FROM c WHERE conv_id IN (SELECT DISTINCT conv_id FROM c ORDER BY conv_id LIMIT 5)")
+def cache_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reads of a held chain are hits; a read of the whole table, of which only some chains are held, is a miss."""
+    t = X.fresh(spark, sf_dir, X.TALKS)
+    cache.warm_cache(t, max_groups=5)
+    first = t.sections().agg(F.min(t._group_key())).first()[0]
+    t.df(group=first), t.df(group=first), t.df()
+    return cache.cache_stats(t).select("hit_count", "miss_count", "eviction_count", "entries_count")
+
+
+@query("""SELECT n AS column_name, count(*)::BIGINT AS rows, 0::BIGINT AS nulls FROM e,
+  (VALUES ('event_id'), ('ts'), ('user_id'), ('event_type'), ('value'), ('props'), ('_xp_seq')) v(n) GROUP BY n""")
+def analyze_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return introspect.analyze(X.built(spark, sf_dir, X.EVENTS)).select("column_name", "rows", "nulls")
+
+
+@query("SELECT count(*)::BIGINT AS rows, true AS has_files, true AS has_bytes FROM e")
+def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.built(spark, sf_dir, X.EVENTS).size_estimate().select("rows", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))
+
+
+@query("SELECT true AS filled, false AS empty")
+def stats_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = introspect.stats_exist(X.built(spark, sf_dir, X.TALKS)), introspect.stats_exist(X.empty(spark, sf_dir, X.TALKS))
+    return spark.createDataFrame([row], "filled boolean, empty boolean")
+
+
+@query("SELECT 1 AS linked, 'public.talks' AS tables, 7 AS keyframe_every")
+def restored_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that came back under its name gets its settings again; those of one that is gone are forgotten."""
+    catalog = Catalog(spark, scratch_root(spark))
+    for name in ("talks", "gone"):
+        catalog.create_table(name, "conv_id INT, turn INT, text STRING", TableConfig(group_by="conv_id", keyframe_every=7))
+    for name in ("talks", "gone"):
+        catalog._files.delete(f"public/{name}")
+    VersionedTable.create(spark, catalog._path("talks"), T.StructType.fromDDL("conv_id INT, turn INT, text STRING"), None, "talks")
+    linked = catalog.fix_restored_configs()
+    found = catalog.refresh("talks")
+    return catalog.table_config().agg(F.array_join(F.collect_list(F.concat_ws(".", "schema_name", "table_name")), ",").alias("tables")).select(F.lit(linked).alias("linked"), "tables", F.lit(found.config.keyframe_every).alias("keyframe_every"))
+
+
+@query("SELECT 'palimpsest 0.1.0 (codec 1, zstd)' AS version")
+def engine_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(version(),)], "version string")
+
+
 @query("""SELECT sum(m)::BIGINT AS rows_warmed, count(*)::BIGINT AS groups_warmed, sum(ceil(m / 10.0))::BIGINT AS sections_warmed, 4::BIGINT AS workers_used
   FROM (SELECT user_id, max(rn) AS m FROM e GROUP BY user_id)""")
 def warm_parallel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,9 +388,71 @@ def dump_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.dump_configs()
 
 
+# Copies and cursors
+
+
+@query(f"SELECT {_E} FROM e")
+def copy_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_root(spark)}/out"
+    X.built(spark, sf_dir, X.EVENTS).copy_out(path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, role, rn::VARCHAR AS _xp_seq FROM c")
+def copy_out_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_root(spark)}/out"
+    X.built(spark, sf_dir, X.TALKS).copy_out(path, "csv", header="true", quoteAll="true", escape='"')
+    return spark.read.csv(path, header=True, multiLine=True, escape='"').select("conv_id", "turn", "role", SEQUENCE)
+
+
+@query("SELECT event_id, user_id, rn::BIGINT AS _xp_seq FROM e ORDER BY event_id LIMIT 40")
+def cursor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of a cursor, which holds one partition at a time."""
+    rows = islice(X.built(spark, sf_dir, X.EVENTS).cursor("event_id"), 40)
+    return spark.createDataFrame([(r.event_id, r.user_id, r[SEQUENCE]) for r in rows], f"event_id long, user_id long, {SEQUENCE} long")
+
+
+@query(f"SELECT {_C} FROM c")
+def storage_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.built(spark, sf_dir, X.TALKS).copy_to(f"{scratch_root(spark)}/copy").df()
+
+
+@query("""SELECT g::INTEGER AS id, v::INTEGER AS version, repeat('Paragraph ' || g || '. ', v::INTEGER) || 'Edit ' || v AS content,
+  v::BIGINT AS _xp_seq FROM range(1, 21) a(g), range(1, 31) b(v)""")
+def series_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows made by series, repetition and concatenation, as an edit history."""
+    t = VersionedTable.create(spark, scratch_root(spark), T.StructType.fromDDL("id INT, version INT, content STRING NOT NULL"), TableConfig(group_by="id", order_by="version", keyframe_every=8))
+    ids = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(20))).alias("id"))
+    made = ids.select("id", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("version"))
+    text = F.concat(F.repeat(F.concat(F.lit("Paragraph "), F.col("id"), F.lit(". ")), F.col("version")), F.lit("Edit "), F.col("version"))
+    t.append(made.withColumn("content", text))
+    return t.df()
+
+
 # Mutation
 
 
+@query("SELECT event_id, ts, user_id, event_type, value, props, rn::BIGINT AS _xp_seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, ts, event_id) AS rn FROM events) WHERE event_id % 3 = 1")
+def returning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an append returned stays, whatever is appended after it."""
+    t = X.empty(spark, sf_dir, X.EVENTS)
+    rows = X.rows(spark, sf_dir, X.EVENTS)
+    made = [t.append(rows.where(F.col("event_id") % 3 == part), arrival=X.arrival(X.EVENTS), returning=True) for part in (0, 1, 2)]
+    return made[1]
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 4, ts, event_id)::BIGINT AS _xp_seq FROM events")
+def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = X.empty(spark, sf_dir, X.EVENTS)
+    rows = X.rows(spark, sf_dir, X.EVENTS)
+    for part in range(4):
+        t.append(rows.where(F.col("event_id") % 4 == part), arrival=X.arrival(X.EVENTS))
+    if not t.compact() or t.compact():
+        raise RuntimeError("one compaction replaces files, and leaves nothing to the next")
+    t.vacuum()
+    return t.df()
+
+
 @query(f"SELECT {_E} FROM e x WHERE rn < coalesce((SELECT min(rn) FROM e y WHERE y.user_id = x.user_id AND y.rn = 14 AND y.user_id % 3 = 0), 1000000000)")
 def cascade_delete_mid(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.fresh(spark, sf_dir, X.EVENTS)
@@ -342,9 +478,9 @@ def cascade_delete_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cascade_delete_then_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.fresh(spark, sf_dir, X.TALKS)
     again = t.df(seq=(1, 2)).drop(SEQUENCE).withColumn("turn", F.col("turn") + 100)
-    rows = spark.createDataFrame(again.toArrow(), again.schema)  # a few rows, taken before the table changes
+    before = again  # of the snapshot it was made from, which deletes leave alone
     t.delete("_xp_seq = 3")
-    t.append(rows, arrival=X.arrival(X.TALKS))
+    t.append(before, arrival=X.arrival(X.TALKS))
     return t.df()
 
 
@@ -405,8 +541,6 @@ def restore_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, role, text AS body, NULL::VARCHAR AS note, rn::BIGINT AS _xp_seq FROM c")
 def alter_add_rename_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import types as T
-
     t = X.fresh(spark, sf_dir, X.TALKS)
     t.add_column("note", T.StringType())
     t.rename_column("text", "body")

@@ -20,6 +20,7 @@ class Roles:
     order_by: str
     delta: tuple[str, ...]
     plain: tuple[str, ...]  # everything else, the order column included
+    indexed: tuple[str, ...]  # of the plain ones, those whose bounds each section keeps: the order column, and what is set
 
 
 def _find(schema: T.StructType, name: str, table: str) -> T.StructField:
@@ -61,4 +62,8 @@ def resolve(schema: T.StructType, config: TableConfig, table: str = "table") ->
     if not delta:
         raise ConfigurationError("versioned tables require at least one delta column", "name one, or add a text-like column")
     plain = tuple(f.name for f in schema.fields if f.name not in (SEQUENCE, config.group_by, *delta))
-    return Roles(config.group_by, order_by, tuple(delta), plain)
+    for name in config.index_columns:
+        if name not in plain or isinstance(_find(schema, name, table).dataType, T.ArrayType | T.MapType | T.StructType):
+            raise ConfigurationError(f'index column "{name}" must be a plain column of one value a row')
+    indexed = tuple(n for n in plain if n == order_by or n in config.index_columns)
+    return Roles(config.group_by, order_by, tuple(delta), plain, indexed)

@@ -1,4 +1,4 @@
-"""Tables by name below one folder: <root>/<schema>/<table>, and a registry of their settings."""
+"""Tables by name below one folder: <root>/<schema>/<table>, and a registry with a file of settings for each."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from .store import Files
 from .table import VersionedTable
 
 VERSION = "0.1.0"
-_REGISTRY = "_registry.json"
+_REGISTRY = "_registry"
 
 
 class Catalog:
@@ -30,15 +30,18 @@ class Catalog:
         return f"{self.root}/" + "/".join(self._split(name))
 
     def _registry(self) -> dict[str, dict]:
-        return json.loads(self._files.read(_REGISTRY)) if self._files.exists(_REGISTRY) else {}
+        return {n.removesuffix(".json"): json.loads(self._files.read(f"{_REGISTRY}/{n}")) for n in self._files.names(_REGISTRY) if n.endswith(".json")}
 
-    def _save(self, registry: dict[str, dict]) -> None:
-        self._files.put(_REGISTRY, json.dumps(registry, sort_keys=True))
+    def _enter(self, full: str, entry: dict) -> None:
+        """A table's entry is a file of its own: who registers one table touches no other."""
+        self._files.put(f"{_REGISTRY}/{full}.json", json.dumps(entry, sort_keys=True))
+
+    def _forget(self, name: str) -> None:
+        self._files.delete(f"{_REGISTRY}/{'.'.join(self._split(name))}.json")
 
     def _register(self, name: str, table: VersionedTable) -> None:
         if table.state.config:
-            full = ".".join(self._split(name))
-            self._save(self._registry() | {full: {"table_id": table.state.table_id, "config": table.state.config.to_json()}})
+            self._enter(".".join(self._split(name)), {"table_id": table.state.table_id, "config": table.state.config.to_json()})
 
     # Tables
 
@@ -66,20 +69,28 @@ class Catalog:
     def drop_table(self, name: str) -> None:
         self.table(name)
         self._files.delete("/".join(self._split(name)))
-        registry = self._registry()
-        registry.pop(".".join(self._split(name)), None)
-        self._save(registry)
+        self._forget(name)
 
     def rename_table(self, old: str, new: str) -> VersionedTable:
-        """A copy under the new name; then the old one goes."""
+        """The folder is renamed; no byte of data moves."""
         if self._files.exists("/".join(self._split(new)) + "/_log"):
             raise VersionedTableError(f'table "{new}" already exists')
-        table = self.table(old).copy_to(self._path(new))
+        self.table(old)
+        self._files.move("/".join(self._split(old)), "/".join(self._split(new)))
+        table = self.table(new)
         table.renamed(self._split(new)[1])
-        self.drop_table(old)
+        self._forget(old)
         self._register(new, table)
         return table
 
+    def refresh(self, name: str) -> VersionedTable:
+        """The table at its newest commit; nothing that was known of it before is used."""
+        from ..operators.cache import release
+
+        table = self.table(name)
+        release(table)
+        return table
+
     # Settings
 
     def configure(self, name: str, **settings: object) -> VersionedTable:
@@ -116,17 +127,17 @@ class Catalog:
 
     def fix_restored_configs(self) -> int:
         """Link settings again to tables that came back under their names; forget those of tables that are gone."""
-        registry, linked, kept = self._registry(), 0, {}
+        registry, linked = self._registry(), 0
         for name, entry in registry.items():
             if not self._files.exists("/".join(self._split(name)) + "/_log"):
+                self._forget(name)
                 continue
             state = self.table(name).state
             if state.table_id != entry["table_id"]:
                 linked += 1
                 if state.config is None or state.config.to_json() != entry["config"]:
                     VersionedTable.open(self.spark, self._path(name)).configure(TableConfig.from_json(entry["config"]))
-            kept[name] = entry | {"table_id": state.table_id}
-        self._save(kept)
+                self._enter(name, entry | {"table_id": state.table_id})
         return linked
 
 

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import replace
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +26,8 @@ from .store import Change, File, State, Store
 
 #: Rows of one chain beyond which an append numbers them over many tasks instead of in one window.
 HOT_ROWS = 1_000_000
+#: Age from which vacuum takes a file that no commit names for one of an aborted write.
+ORPHAN_AGE_S = 7 * 86_400.0
 _NULL_GROUP, _NULL_DELTA = "NULL value not allowed in group column", "NULL value not allowed in delta column"
 
 
@@ -32,6 +36,7 @@ class VersionedTable:
 
     def __init__(self, store: Store, state: State, pinned: bool = False) -> None:
         self.store, self.state, self.pinned = store, state, pinned
+        self._scratch = ""
         self.spark: SparkSession = store.spark
 
     # Making and opening
@@ -99,8 +104,9 @@ class VersionedTable:
     def _bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.state.buckets)).cast("int") if self.roles.group_by else F.lit(0)
 
-    def sections(self, group: object = None, seq: tuple[int | None, int | None] | None = None, kind: str | None = None) -> DataFrame:
-        """Physical rows, pruned to a group's bucket and to a range of sequence numbers."""
+    def sections(self, group: object = None, seq: tuple[int | None, int | None] | None = None, kind: str | None = None, between: Mapping[str, tuple[object, object]] | None = None) -> DataFrame:
+        """Physical rows, pruned to a group's bucket, to a range of sequence numbers and (between) to those that can hold
+        values of an indexed column within inclusive bounds, of which either may be None."""
         buckets, roles = None, self.roles
         if group is not None:
             if not roles.group_by:
@@ -115,12 +121,31 @@ class VersionedTable:
             out = out.where(F.col("_hi") >= low)
         if high is not None:
             out = out.where(F.col("_lo") <= high)
+        for name, (low, high) in (between or {}).items():
+            if name not in roles.indexed:
+                raise UnknownColumn(f'column "{name}" of table "{self.name}" is not indexed')
+            kind_of, stored = self.schema[name].dataType, self.state.physical[name]
+            for limit, test, bound in ((low, Column.__ge__, f"most_{stored}"), (high, Column.__le__, f"least_{stored}")):
+                if limit is not None:  # a section without bounds is older than the index
+                    out = out.where(test(F.col(bound), F.lit(limit).cast(kind_of)) | F.col(bound).isNull())
         return out
 
-    def df(self, group: object = None, seq: int | tuple[int | None, int | None] | None = None) -> DataFrame:
-        """All versions with full values, lazily; ``group`` and ``seq`` (one number, or inclusive bounds) also prune files."""
+    def df(self, group: object = None, seq: int | tuple[int | None, int | None] | None = None, between: Mapping[str, tuple[object, object]] | None = None) -> DataFrame:
+        """All versions with full values, lazily.  ``group``, ``seq`` (one number, or inclusive bounds) and ``between``
+        (inclusive bounds of indexed columns, the order column among them) also prune files, row groups and sections.
+
+        Rows that ``warm_cache`` holds are taken from there."""
+        from ..operators import cache
+
         bounds = (seq, seq) if isinstance(seq, int) else seq
-        out = S.explode(self.sections(group, bounds), self.schema, self.state.physical, self.roles)
+        out = cache.warmed(self, group)
+        if out is None:
+            out = S.explode(self.sections(group, bounds, between=between), self.schema, self.state.physical, self.roles)
+        for name, (low, high) in (between or {}).items():
+            if name not in self.roles.indexed:
+                raise UnknownColumn(f'column "{name}" of table "{self.name}" is not indexed')
+            for limit, test in ((low, F.col(f"`{name}`").__ge__), (high, F.col(f"`{name}`").__le__)):
+                out = out.where(test(F.lit(limit).cast(self.schema[name].dataType))) if limit is not None else out
         if bounds is not None:
             for limit, test in ((bounds[0], F.col(SEQUENCE).__ge__), (bounds[1], F.col(SEQUENCE).__le__)):
                 out = out.where(test(limit)) if limit is not None else out
@@ -150,7 +175,8 @@ class VersionedTable:
         if batch and self.state.batches.get(batch[0], -1) >= batch[1]:
             return self.df().limit(0) if returning else None
         try:
-            return self._append(rows, arrival, on_conflict, returning, batch)
+            with self._writing():
+                return self._append(rows, arrival, on_conflict, returning, batch)
         except VersionedTableError:
             raise
         except Exception as e:
@@ -192,8 +218,8 @@ class VersionedTable:
         return f"{kind}/{uuid.uuid4().hex}"
 
     def _stash(self, df: DataFrame) -> DataFrame:
-        """Write an intermediate table beside the data; vacuum and the end of the write remove it."""
-        path = f"{self.store.root}/{self._folder('_tmp')}"
+        """Write an intermediate table beside the data, in this write's own folder, which goes when the write ends."""
+        path = f"{self.store.root}/{self._folder(self._scratch)}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -208,8 +234,7 @@ class VersionedTable:
         new = new.withColumns({"__g": key, "__at": F.monotonically_increasing_id()})
         if on_conflict:
             new = self._without_conflicts(new, list(on_conflict), [*order, "__at"])
-        if given or on_conflict:
-            new = self._stash(new)  # read several times, and its arrival ids must stay what they are
+        new = self._stash(new)  # read several times: the rows and their arrival ids must stay what they are
         tails = self._read(state.paths("tail")).withColumn("__g", self._group_key())
         before = tails.select("__g", F.col("_hi").alias("__hi"), F.col("_base").alias("__tail_base"), (F.col("_epoch") == state.epoch).alias("__same"))
         counted = new.groupBy("__g").agg(F.count("*").alias("__n")).join(before, "__g", "left")
@@ -218,7 +243,6 @@ class VersionedTable:
         chains = self._stash(counted.select("__g", "__n", hi.alias("__hi"), base.alias("__base"), (hi + F.col("__n")).alias("__last")))
         facts = chains.agg(F.max("__n"), F.sum("__n"), F.collect_set(self._bucket(F.col("__g")))).first()
         if not facts[1]:
-            self._drop_stashes()
             return self.df().limit(0) if returning else None
         buckets = set(facts[2])
         if given:
@@ -231,7 +255,7 @@ class VersionedTable:
         gaps = given and bool(chains.where("__least <= __hi").limit(1).count())
         if gaps and chains.where("__least < __base").limit(1).count():
             raise InvalidSequence("sequence numbers before a change of settings are closed")
-        old_paths = state.paths(None if gaps else "tail", buckets)
+        old_paths = self._holding(state.paths(None if gaps else "tail", buckets), chains)
         old = self._read(old_paths).withColumn("__g", self._group_key())
         if gaps:
             tail_of = old.groupBy("__g").agg(F.max("_lo").alias("__tail_lo"))
@@ -252,17 +276,33 @@ class VersionedTable:
         kept = kept.select(*made.columns)
         add = self._write(made.unionByName(kept))
         self.state = self.store.commit(state, Change(add, tuple(old_paths), frozenset(buckets), batch=batch))
-        out = None
-        if returning:
-            pairs = self._stash(new.select("__g", F.col("__seq").alias("__s")))
-            now = self.df().withColumn("__k", F.col(f"`{roles.group_by}`") if roles.group_by else F.lit(0))
-            out = now.join(pairs, (F.col("__k") == F.col("__g")) & (F.col(SEQUENCE) == F.col("__s")), "left_semi").drop("__k")
-        else:
-            self._drop_stashes()
-        return out
+        return self._appended(sorted(add), old_paths, state, roles) if returning else None
 
-    def _drop_stashes(self) -> None:
-        self.store.files.delete("_tmp")
+    def _appended(self, added: list[str], replaced: list[str], state: State, roles: Roles) -> DataFrame:
+        """The rows of the added files that the files they replace had not: both stay what they are whatever is appended."""
+        key = F.col(f"`{roles.group_by}`") if roles.group_by else F.lit(0)
+        before = self._read(replaced).select(self._group_key().alias("__g"), F.explode("_seqs").alias("__s"))
+        now = S.explode(self._read(added), self.schema, state.physical, roles).withColumn("__k", key)
+        return now.join(before, (F.col("__k") == F.col("__g")) & (F.col(SEQUENCE) == F.col("__s")), "left_anti").drop("__k")
+
+    def _holding(self, paths: list[str], chains: DataFrame) -> list[str]:
+        """Those of ``paths`` that hold a section of one of the chains (__g).  Only the group column is read."""
+        if len(paths) < 2 or not self.roles.group_by:
+            return paths
+        files = self._read(paths).select(self._group_key().alias("__g"), F.col("_metadata.file_path").alias("__file"))
+        names = {r[0] for r in files.join(chains.select("__g"), "__g", "left_semi").select("__file").distinct().collect()}  # files, as the log lists them
+        ends = {unquote(n).rsplit("/data/", 1)[-1] for n in names}
+        return [p for p in paths if unquote(p).split("data/", 1)[-1] in ends]
+
+    @contextmanager
+    def _writing(self) -> Iterator[None]:
+        """One write: its scratch folder is its own, whoever else writes."""
+        before, self._scratch = self._scratch, f"_tmp/{uuid.uuid4().hex}"
+        try:
+            yield
+        finally:
+            self.store.files.delete(self._scratch)
+            self._scratch = before
 
     def _without_conflicts(self, new: DataFrame, keys: list[str], order: list) -> DataFrame:
         """Rows whose key no stored row has, the first of each key; a null in the key conflicts with nothing."""
@@ -318,16 +358,19 @@ class VersionedTable:
     def delete(self, condition: str | Column) -> int:
         """Remove every matching version and all later ones of its chain; the number of versions removed."""
         self._writable()
+        with self._writing():
+            return self._delete(condition)
+
+    def _delete(self, condition: str | Column) -> int:
         state, roles = self.state, self.roles
         matched = self.df().where(condition).withColumn("__g", F.col(f"`{roles.group_by}`") if roles.group_by else F.lit(0))
         cuts = self._stash(matched.groupBy("__g").agg(F.min(SEQUENCE).alias("__cut")))
         buckets = set(cuts.agg(F.collect_set(self._bucket(F.col("__g")))).first()[0])
         if not buckets:
-            self._drop_stashes()
             return 0
         before = self.count()
-        paths = state.paths(None, buckets)
-        kinds = [self._read(p).withColumns({"__g": self._group_key(), "kind": F.lit(kind)}) for kind in ("sealed", "tail") if (p := state.paths(kind, buckets))]
+        paths = self._holding(state.paths(None, buckets), cuts)  # files without one of the chains stay as they are
+        kinds = [self._read(p).withColumns({"__g": self._group_key(), "kind": F.lit(kind)}) for kind in ("sealed", "tail") if (p := [x for x in paths if state.files[x].kind == kind])]
         old = reduce(DataFrame.unionByName, kinds)
         last = old.select("__g", "_lo").join(cuts, "__g").where("_lo < __cut").groupBy("__g").agg(F.max("_lo").alias("__tail"))
         marked = old.join(cuts, "__g", "left").join(last, "__g", "left")
@@ -336,9 +379,24 @@ class VersionedTable:
         columns = S.physical_schema(self.schema, state.physical, roles).names
         add = self._write(kept.withColumn("kind", kind).select(*columns, "kind"))
         self.state = self.store.commit(state, Change(add, tuple(paths), frozenset(buckets)))
-        self._drop_stashes()
         return before - self.count()
 
+    def compact(self, most: int = 1) -> int:
+        """Write anew the files of each bucket and kind that has more than ``most`` of them; the number of files replaced."""
+        self._writable()
+        state = self.state
+        of: dict[tuple[int, str], list[str]] = {}
+        for path, f in state.files.items():
+            of.setdefault((f.bucket, f.kind), []).append(path)
+        many = {key: paths for key, paths in of.items() if len(paths) > most}
+        if not many:
+            return 0
+        kinds = [self._read(p).withColumn("kind", F.lit(kind)) for kind in ("sealed", "tail") if (p := sorted(x for (_, k), paths in many.items() if k == kind for x in paths))]
+        paths = sorted(p for some in many.values() for p in some)
+        add = self._write(reduce(DataFrame.unionByName, kinds))
+        self.state = self.store.commit(state, Change(add, tuple(paths), frozenset(b for b, _ in many)))
+        return len(paths)
+
     def truncate(self) -> None:
         self._writable()
         self.state = self.store.commit(self.state, Change({}, tuple(self.state.files), None))
@@ -352,8 +410,10 @@ class VersionedTable:
         gone = tuple(p for p in self.state.files if p not in past.files)
         self.state = self.store.commit(self.state, Change({p: f for p, f in past.files.items() if p not in self.state.files}, gone, None))
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete files that none of the newest ``keep_versions`` snapshots holds; the number of files deleted."""
+    def vacuum(self, keep_versions: int = 1, orphan_age_s: float = ORPHAN_AGE_S) -> int:
+        """Delete files that none of the newest ``keep_versions`` snapshots holds; the number of files deleted.
+
+        A file that no commit names may belong to a writer at work: it goes once it is ``orphan_age_s`` old."""
         self._writable()
         self.refresh()
         oldest = max(self.state.oldest, self.state.version - keep_versions + 1, 0)
@@ -361,12 +421,30 @@ class VersionedTable:
         for v in range(oldest, self.state.version + 1):
             held |= set(self.store.load(v).files)
         self.state = self.store.commit(self.state, Change(buckets=None, settings={"oldest": json.dumps(oldest)}))
-        gone = [p for p, _ in self.store.files.tree("data") if p.endswith(".parquet") and p not in held]
+        committed = {p for _, c in self.store.history() for p in c.add} | set(self.store.load(oldest).files)
+        stamped = [x for x in self.store.files.stamped("data") if x[0].endswith(".parquet") and x[0] not in held]
+        gone = [p for p, _, age in stamped if p in committed or age >= orphan_age_s]
         for p in gone:
             self.store.files.delete(p)
-        self._drop_stashes()
+        for p, _, age in self.store.files.stamped("_tmp"):
+            if age >= orphan_age_s:
+                self.store.files.delete(p)
         return len(gone)
 
+    def size_estimate(self) -> DataFrame:
+        """files, bytes and rows of the snapshot: sizes from the log, rows from the sections' counts."""
+        files = self.state.files.values()
+        return self.spark.createDataFrame([(len(files), sum(f.size for f in files), self.count())], "files long, bytes long, rows long")
+
+    def copy_out(self, path: str, kind: str = "parquet", **options: str) -> None:
+        """Write all versions with whole values as files of a format that Spark knows."""
+        self.df().write.format(kind).options(**options).save(path)
+
+    def cursor(self, *order: str) -> Iterator[Row]:
+        """Rows one by one, a partition at a time in the driver's memory."""
+        rows = self.df().orderBy(*[f"`{n}`" for n in order]) if order else self.df()
+        return rows.toLocalIterator()
+
     def update(self, *_: object, **__: object) -> None:
         raise UnsupportedOperation("UPDATE is not supported on versioned tables", "append a new version instead")
 
@@ -421,7 +499,7 @@ class VersionedTable:
         swap = lambda n: new if n == old else n
         fields = [T.StructField(swap(f.name), f.dataType, f.nullable) for f in self.schema.fields]
         config = self._fixed_roles()
-        config = config.with_values(group_by=config.group_by and swap(config.group_by), order_by=swap(config.order_by), delta_columns=tuple(map(swap, config.delta_columns)))
+        config = config.with_values(group_by=config.group_by and swap(config.group_by), order_by=swap(config.order_by), delta_columns=tuple(map(swap, config.delta_columns)), index_columns=tuple(map(swap, config.index_columns)))
         self._set_columns(fields, {swap(n): p for n, p in self.state.physical.items()}, config)
 
     def drop_column(self, name: str) -> None:
@@ -429,7 +507,7 @@ class VersionedTable:
         config = self._fixed_roles()
         if name in (config.group_by, config.order_by):
             raise ConfigurationError(f'column "{name}" orders or groups the table')
-        config = config.with_values(delta_columns=tuple(n for n in config.delta_columns if n != name))
+        config = config.with_values(delta_columns=tuple(n for n in config.delta_columns if n != name), index_columns=tuple(n for n in config.index_columns if n != name))
         if not config.delta_columns:
             raise ConfigurationError("versioned tables require at least one delta column")
         fields = [f for f in self.schema.fields if f.name != name]

@@ -302,7 +302,7 @@ def test_introspection(catalog):
     assert introspect.physical(t, 1, 7).count() == 3 and introspect.physical(t, from_seq=4).count() == 7
     r = introspect.refresh_stats(t).first()
     assert (r.groups_scanned, r.rows_scanned) == (2, 15)
-    assert introspect.sampled(t).count() > 0
+    assert {r.column_name: (r.rows, r.nulls) for r in introspect.analyze(t).collect()}["content"] == (15, 0)
     w = cache.warm_cache_parallel(t, max_workers=2).first()
     assert (w.rows_warmed, w.groups_warmed, w.sections_warmed, w.workers_used) == (15, 2, 5, 2)
     assert cache.warm_cache_parallel(t, max_groups=0).first()[:4] == (0, 0, 0, 0)
@@ -379,3 +379,102 @@ def test_random_histories(catalog):
             assert t.delete(f"group_id = {g} AND version = {model[g][cut][1]}") == len(model[g]) - cut
             del model[g][cut:]
     assert got(t) == sorted(((*r, s) for rows in model.values() for s, r in enumerate(rows, 1)), key=lambda r: (str(r[0]), r[-1]))
+
+
+def test_two_writers_keep_their_scratch(catalog):
+    """A write drops its own intermediate tables only, and what it returned outlives later writes."""
+    t = make(catalog, versions(1, 4))
+    other = catalog.table("t")
+    with other._writing():
+        held = other._stash(t.spark.range(5))
+        first = add(t, versions(2, 3), returning=True)
+        assert held.count() == 5
+    add(t, versions(2, 2) + versions(3, 1))
+    assert sorted((r.group_id, r["_xp_seq"]) for r in first.collect()) == [(2, 1), (2, 2), (2, 3)]
+    assert t.store.files.tree("_tmp") == []
+
+
+def test_returning_with_given_numbers(catalog):
+    t = make(catalog, [(1, 1, "a", 1), (1, 2, "b", 6)], DDL + ", _xp_seq BIGINT")
+    rows = t.spark.createDataFrame([(1, 9, "x", 3), (2, 9, "y", 5)], "group_id int, version int, content string, _xp_seq bigint")
+    out = t.append(rows, returning=True)
+    add(t, [(1, 3, "c", None)])
+    assert sorted((r.group_id, r.content, r["_xp_seq"]) for r in out.collect()) == [(1, "x", 3), (2, "y", 5)]
+
+
+def test_vacuum_leaves_files_of_writers_at_work(catalog):
+    t = make(catalog, versions(1, 4))
+    working = t._write(t._read(t.state.paths()).withColumn("kind", F.lit("tail")))
+    add(t, versions(1, 1))
+    assert t.vacuum() >= 1  # what the append replaced
+    there = {p for p, _ in t.store.files.tree("data")}
+    assert set(working) <= there
+    assert t.vacuum(orphan_age_s=0) == len(working)
+    assert t.df().count() == 5
+
+
+def test_a_commit_off_the_local_disk_is_one_rename(catalog):
+    t = make(catalog, versions(1, 2))
+    files = t.store.files
+    files.local = False
+    assert files.create("_log/x.json", "one") and not files.create("_log/x.json", "two")
+    assert files.read("_log/x.json") == "one" and not [n for n in files.names("_log") if n.endswith(".tmp")]
+    add(t, versions(2, 2))
+    assert t.df().count() == 4
+
+
+def test_bounds_prune_sections(catalog):
+    t = make(catalog, [(g, v, f"text {v}", v * 10 + g) for g in range(3) for v in range(1, 41)], DDL + ", score INT", keyframe_every=10, order_by="version", index_columns=("score",))
+    assert t.sections(between={"version": (12, 13)}).count() == 3 and t.sections(between={"score": (None, 45)}).count() == 3
+    assert sorted(r.version for r in t.df(group=1, between={"version": (12, 13)}).collect()) == [12, 13]
+    assert [r.version for r in t.df(between={"score": (101, 101)}).collect()] == [10]
+    plan = t.df(between={"version": (12, 13)})._jdf.queryExecution().executedPlan().toString()
+    assert "most_version" in plan.split("PushedFilters", 1)[1]
+    with pytest.raises(UnknownColumn):
+        t.df(between={"content": ("a", "b")})
+    t.delete("version = 15 AND group_id = 1")
+    assert t.sections(group=1, between={"version": (15, None)}).count() == 0
+    t.add_column("more", T.IntegerType())
+    t.configure(t.config.with_values(index_columns=("score", "more")))
+    add(t, [(1, 50, "x", 1, 7)])
+    assert t.df(between={"more": (7, 7)}).count() == 1  # sections older than the index are looked through
+
+
+def test_deletes_and_appends_leave_other_files_alone(catalog):
+    t = catalog.create_table("t", DDL, TableConfig(group_by="group_id", keyframe_every=5), buckets=1)
+    for g in range(4):
+        add(t, versions(g, 12))
+    before = set(t.state.files)
+    t.delete("group_id = 2 AND version = 4")
+    gone = before - set(t.state.files)
+    assert len(gone) == 2 and t.df().count() == 36 + 3
+    before = set(t.state.files)
+    add(t, versions(3, 1))
+    assert len(before - set(t.state.files)) == 1
+    rows = got(t)
+    assert t.compact() > 2 and len(t.state.files) == 2 and got(t) == rows and t.compact() == 0
+
+
+def test_warm_rows_answer_reads(catalog):
+    t = make(catalog, versions(1, 8) + versions(2, 8) + versions(3, 8), keyframe_every=4)
+    r = cache.warm_cache(t, max_rows=10).first()
+    assert (r.rows_scanned, r.groups_warmed) == (10, 2)
+    assert [f.count() for f, _ in cache.cache_of(t).frames] == [10]
+    assert t.df(group=1).count() == 8 and t.df(group=2).count() == 8 and t.df().count() == 24
+    s = cache.cache_stats(t).first()
+    assert (s.entries_count, s.hit_count, s.miss_count, s.eviction_count) == (10, 1, 2, 0)
+    cache.warm_cache(t)
+    assert got(t, seq=(2, 3)) == [(g, v, f"Version {v} content", v) for g in (1, 2, 3) for v in (2, 3)]
+    assert "InMemoryTableScan" in t.df()._jdf.queryExecution().executedPlan().toString()
+    cache.release(t)
+    assert "InMemoryTableScan" not in t.df()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_renaming_moves_no_data(catalog):
+    t = make(catalog, versions(1, 3), name="old")
+    files = {p for p, _ in t.store.files.tree("data")}
+    t = catalog.rename_table("old", "new")
+    assert {p for p, _ in t.store.files.tree("data")} == files and got(t)[0][2] == "Version 1 content"
+    assert catalog.tables() == ["public.new"] and [r.table_name for r in catalog.table_config().collect()] == ["new"]
+    with pytest.raises(VersionedTableError):
+        catalog.rename_table("new", "new")
