@@ -8,7 +8,8 @@ classifier is one small table, so a text costs a few look-ups per distinct word
 
 Defined results: a null text, or one without a letter, gets ``und`` with score 0 and is rejected; documents without a
 language are never learned from; without any labelled document every text gets ``und``; repeated rows are predicted
-each; equal scores go to the language that sorts first.
+each; equal scores go to the language that sorts first; a very long text is predicted whole, alone in its chunk; an
+empty table gives no rows; other columns, whatever their names, are carried along or ignored.
 """
 
 from __future__ import annotations

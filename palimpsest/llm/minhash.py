@@ -20,9 +20,9 @@ lies in a prefix of both, as what follows must still hold the overlap that the s
 by the elements of prefixes, first each with a posting list's smallest, then all that are not yet connected, in blocks
 of a list.  No pair of open documents is left out, whatever bands they share.
 
-Defined results: a null or wordless text is its own group; a text under five words only matches equal word sequences;
+Defined results: a null, empty or wordless text is its own group; a very long text is handled whole, alone in its chunk; a text under five words only matches equal word sequences;
 rows that share a ``doc_id`` are one document; a null ``doc_id`` is in no group and is kept; an empty table gives no
-rows; the smallest ``doc_id`` of a group stays.  A pair of similarity s shares no band with probability
+rows; other columns, whatever their names, are carried along or ignored; the smallest ``doc_id`` of a group stays.  A pair of similarity s shares no band with probability
 (1 - s**4)**16: 0.0002 at 0.8.
 """
 

@@ -32,6 +32,82 @@ def test_odd_texts(spark, documents):
     assert {r.doc_id for r in kept.collect()}.isdisjoint({200, 201, 202})
 
 
+def test_rules_against_brute_force(documents):
+    """The model's scores, text by text and n-gram by n-gram, and who may be learned from."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    vocabulary = {"xx": ["lorem", "ipsum", "dolor", "sit"], "yy": ["żółw", "święto", "ąę", "Łódź"]}
+    rows = [(i, " ".join(rng.choice(vocabulary[lang], 9)), lang) for i, lang in enumerate(["xx", "yy"] * 60)]
+    rows += [(500, "LOREM " * 40_000, "zz"), (501, "lorem  Żółw\tipsum 12", None), (502, "٣ 12 --", "xx"), (None, "dolor sit", "xx")]
+    docs = documents(rows)
+    learned = langid.sample(docs)
+    assert {lang for _, lang, _ in learned} == {"xx", "yy", "zz"} and max(len(t) for t, _, _ in learned) == langid.SAMPLE_CHARS
+    fold_of = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
+    assert Counter(f for _, _, f in learned) == Counter(fold_of(i) for i, t, lang in rows if lang and fold_of(i))
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    for i, text, _ in rows:
+        words = [w.lower().encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        total, n = np.zeros(len(model.labels)), 0
+        for word, times in Counter(words).items():
+            padded = b" " + word + b" "
+            for size in langid.ORDERS:
+                for k in range(len(padded) - size + 1):
+                    h = size
+                    for b in padded[k : k + size]:
+                        h = (h ^ b) * 0x01000193 % 2**32
+                    total += times * model.table[(h ^ (h >> 15)) % langid.BUCKETS]
+                    n += times
+        p = langid.softmax((total / n + model.bias) / model.temperature)
+        r = got[i]
+        if any(c.isalpha() for c in text):
+            assert r.lang_pred == model.labels[int(p.argmax())] and abs(r.score - p.max()) < 1e-6
+            assert r.accepted == (p.max() >= model.reject_below)
+        else:
+            assert (r.lang_pred, r.score, r.accepted) == ("und", 0.0, False)
+        assert r.held_out == (fold_of(i) == 0)
+
+
+def brute_copies(rows):
+    """How often each of (doc_id, text, lang, source) is taken, by sorting every source by hash."""
+    import hashlib
+
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    name = lambda i, t: int(hashlib.md5((str(i) if i is not None else t or "").encode()).hexdigest()[:15], 16)
+    sizes: Counter = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += count(t)
+    limit, base = {}, {}
+    for s, target in brute_targets(sizes).items():
+        base[s] = int(target // sizes[s]) if sizes[s] else 0
+        left, limit[s] = target - base[s] * sizes[s], 0
+        words: Counter = Counter()
+        for i, t, _, source in rows:
+            if source == s:
+                words[name(i, t)] += count(t)
+        for h in sorted(words):
+            if words[h] > left:
+                limit[s] = h + (words[h] - left < left)
+                break
+            left -= words[h]
+        else:
+            limit[s] = 1 << 60
+    return [base[s] + (name(i, t) < limit[s]) for i, t, _, s in rows]
+
+
+def test_copies_against_brute_force(documents):
+    rows = corpus() + [(None, "one two three", "en", "a"), (None, "one two three", "en", "a"), (None, "four", "en", "b")]
+    got = Counter((r.doc_id, r.size, r.copies) for r in mixing.mix(documents(rows)).collect())
+    assert got == Counter((i, len((t or "").split()), c) for (i, t, _, _), c in zip(rows, brute_copies(rows), strict=True))
+
+
+def test_a_very_long_text(documents):
+    rows = [(1, "word " * 400_000, "en", "a"), (2, "a b", "en", "b")]
+    got = {r.doc_id: r.size for r in mixing.mix(documents(rows)).collect()}
+    assert got == {1: 400_000, 2: 2}
+
+
 def test_nothing_to_learn(documents):
     docs = documents([(1, "text", None), (2, None, "en")])
     model = langid.fit(docs)

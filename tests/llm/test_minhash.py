@@ -84,6 +84,31 @@ def test_pairs_inside_a_template(documents, monkeypatch, postings):
     assert {r.doc_id: r.group_id for r in minhash.near_duplicates(documents(rows)).collect()} == want
 
 
+def test_recall_near_the_border(documents):
+    """Pairs of similarity 0.8 to 0.9 by plain count: at least 0.9 are found, and none below 0.78."""
+    rng = random.Random(11)
+    rows, alike = [], {}
+    for g in range(150):
+        base = [f"g{g}w{i}" for i in range(rng.randint(80, 300))]
+        other = base[:]
+        for at in rng.sample(range(len(base)), max(1, round(len(base) * rng.uniform(0.005, 0.035)))):
+            other[at] = f"new{g}x{at}"
+        runs = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (base, other)]
+        alike[g] = len(runs[0] & runs[1]) / len(runs[0] | runs[1])
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    got = {r.doc_id: r.group_id for r in minhash.near_duplicates(documents(rows)).collect()}
+    found = {g: got[2 * g + 1] == 2 * g for g in alike}
+    near = [g for g, s in alike.items() if 0.8 <= s < 0.9]
+    assert len(near) > 30 and sum(found[g] for g in near) >= 0.9 * len(near)
+    assert not any(found[g] for g, s in alike.items() if s < 0.78)
+
+
+def test_a_very_long_text(documents):
+    long = " ".join(f"v{i % 60_000}" for i in range(150_000))
+    rows = [(1, long), (2, "start " + long), (3, "v1 v2 v3")]
+    assert {r.doc_id: r.group_id for r in minhash.near_duplicates(documents(rows)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_ids(documents):
     text = " ".join(f"t{i}" for i in range(40))
     docs = documents([(4, text), (4, text), (2, text), (None, text), (9, None)]).selectExpr("*", "1 as d", "2 as root", "3 as v")
