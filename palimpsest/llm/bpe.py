@@ -159,8 +159,7 @@ class WordEncoder:
     Normalising (NFC, lower case character by character) and splitting never reach over ASCII white space, so a text's
     ids are those of its words in turn.  ``encode_pieces`` gives the ids of pieces that no cache holds."""
 
-    #: Whether lower case and sure piece ends may be applied to a chunk before its words are told apart.
-    folds = True
+    most_words: int | None = None  # of the cache, if not WORD_CACHE
 
     def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], added: dict[str, int]) -> None:
         self.encode_pieces = encode_pieces
@@ -198,9 +197,10 @@ class WordEncoder:
         if missing:
             fresh = dict(zip(missing, self.of_new(missing), strict=True))
             out = [fresh[k] if ids is None else ids for k, ids in zip(keys, out, strict=True)]
-            if len(self.words) + len(fresh) > WORD_CACHE:
+            most = self.most_words or WORD_CACHE
+            if len(self.words) + len(fresh) > most:
                 self.words.clear()
-            self.words |= dict(list(fresh.items())[:WORD_CACHE])
+            self.words |= dict(list(fresh.items())[:most])
         return out
 
     def of_new(self, words: list[bytes]) -> list[bytes]:
@@ -217,7 +217,7 @@ class WordEncoder:
         """(first row, end row, ids, offsets of each row's ids) for runs of rows."""
         for begin, end, data, offsets in W.text_chunks(texts):
             raw, breaks = data.tobytes(), None
-            if self.folds and b"<|" not in raw:  # no added token: lower case and sure piece ends first, as that makes fewer distinct words
+            if b"<|" not in raw:  # no added token: lower case and sure piece ends first, as that makes fewer distinct words
                 data = _LOWER[data]
                 raw, kind = data.tobytes(), _KIND[data]
                 breaks = np.flatnonzero(kind[1:] * kind[:-1] == 2) + 1

@@ -1,12 +1,11 @@
 """Token ids as Parquet list columns for selective reads (operator 7).
 
-Texts are encoded where they are read, by the tokenizers library; only ids are shuffled.  Documents are range-partitioned
-and sorted by ``doc_id``; each partition becomes one file whose ids are delta-encoded lists, with row groups of a set
-number of ids and page indexes.  Files are written under a name of the attempt and only count through the manifest that
+Documents are range-partitioned and sorted by ``doc_id``; each partition is encoded by the tokenizers library and becomes
+one file whose ids are delta-encoded lists, with row groups of a set number of ids and page indexes.  Files are written under a name of the attempt and only count through the manifest that
 the tasks return, so a task that runs twice does no harm.
 
 Defined results: a null or empty text holds the end id alone; a very long text is one list, whole; a null ``doc_id``
-sorts first; rows of one ``doc_id`` are ordered by their ids' bytes; repeated rows are stored each; an empty table has a
+sorts first; rows of one ``doc_id`` are ordered by a hash of their texts, then by the texts, and may fill several files; repeated rows are stored each; an empty table has a
 manifest without rows; other columns, whatever their names, are not stored.
 """
 
@@ -31,15 +30,20 @@ END_ID = 1
 #: Ids in a row group, and bytes in a page: what a selective read takes at least.
 GROUP_IDS, PAGE_BYTES = 1 << 20, 64 << 10
 #: Words in one call of the library.
-BATCH_WORDS = 4096
+BATCH_WORDS = 256
 
 _ENCODERS: dict[str, bpe.WordEncoder] = {}
 
 
 class LibraryEncoder(bpe.WordEncoder):
-    """Words are encoded, white space apart, by the tokenizers library as it is: normalising, added tokens, splitting."""
+    """The distinct pieces of a chunk are encoded by the tokenizers library: added tokens, normalising, splitting, model.
 
-    folds = False
+    A chunk is cut at white space, and at sure piece ends where it has no added token, only so that equal parts of its
+    texts are encoded once: the library would cut there too, and its ids of a text are those of the parts in turn.  A
+    piece of small ASCII letters, which normalising and splitting leave as it is, goes to the library's model at once;
+    others are encoded some at a time, with an added token between two."""
+
+    most_words = 450_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -48,12 +52,29 @@ class LibraryEncoder(bpe.WordEncoder):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.between = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), None)
 
     def of_new(self, words: list[bytes]) -> list[bytes]:
-        out = []
-        for i in range(0, len(words), BATCH_WORDS):
-            found = self.tokenizer.encode_batch([w.decode() for w in words[i : i + BATCH_WORDS]], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in found]
+        out: list[bytes] = [b""] * len(words)
+        joined, alone = [], []
+        for i, w in enumerate(words):
+            if w.isalpha() and w.islower():  # of bytes, so ASCII
+                out[i] = np.array([t.id for t in self.model.tokenize(w.decode())], "<u4").tobytes()
+            elif self.between is None or b"<" in w:
+                alone.append(i)
+            else:
+                joined.append(i)
+        for at in (joined[i : i + BATCH_WORDS] for i in range(0, len(joined), BATCH_WORDS)):
+            name, mark = self.between
+            ids = np.array(self.encode([name.join(words[i].decode() for i in at)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == mark)
+            body, starts, ends = ids.tobytes(), (np.append(0, cuts + 1) * 4).tolist(), (np.append(cuts, len(ids)) * 4).tolist()
+            for i, a, b in zip(at, starts, ends, strict=True):
+                out[i] = body[a:b]
+        for i, e in zip(alone, self.encode([words[i].decode() for i in alone], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
 
@@ -98,42 +119,24 @@ class _FileWriter:
 MANIFEST = "part int, path string, first_id long, last_id long, n_docs long, n_ids long"
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids: the ids of each text and the end id, as little-endian 32-bit numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = library_encoder(tokenizer)
-        for batch in batches:
-            for begin, end, ids, offsets in words.chunks(batch.column(1)):
-                body = np.insert(ids, offsets[1:], end_id).astype("<u4")
-                places = pa.array((offsets + np.arange(len(offsets))) * 4, pa.int32())
-                cells = pa.BinaryArray.from_buffers(pa.binary(), end - begin, [None, places.buffers()[1], pa.py_buffer(body)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), cells], ["doc_id", "ids"])
-
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids binary")
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
     """Encode and store ``docs``; the manifest: a row per file with its id range, counts and ``start``, its first id's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        words, out = library_encoder(tokenizer), None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = out or _FileWriter(folder)
-            cells = batch.column(1)
-            offsets = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
-            ids = np.frombuffer(cells.buffers()[2], "<u4")[offsets[0] // 4 : offsets[-1] // 4]
-            out.add(batch.column(0), ids, (offsets - offsets[0]) // 4)
+            for begin, end, ids, offsets in words.chunks(batch.column(1)):
+                out = out or _FileWriter(folder)
+                ends = offsets[1:]
+                out.add(batch.column(0).slice(begin, end - begin), np.insert(ids, ends, end_id), offsets + np.arange(len(offsets)))
         if out:
             out.close()
             row = {"part": TaskContext.get().partitionId(), "path": out.uri, "first_id": out.first, "last_id": out.last, "n_docs": out.rows, "n_ids": out.ids}
             yield pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("path", pa.string()), *((n, pa.int64()) for n in ("first_id", "last_id", "n_docs", "n_ids"))]))
 
-    by = [F.col("doc_id").asc_nulls_first(), F.col("ids")]
-    ids = materialize(encoded(docs, tokenizer, end_id), "token-ids")  # ranges are sampled first: nothing is encoded twice
-    dealt = ids.repartitionByRange(*by).sortWithinPartitions(*by)
+    by = [F.col("doc_id").asc_nulls_first(), F.col("h")]  # the hash splits a hot id's rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by, "text").select("doc_id", "text")
     manifest = materialize(map_batches(dealt, run, MANIFEST), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

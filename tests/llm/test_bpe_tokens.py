@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, tokenstore
 from palimpsest.llm.queries import tokenizer_path
@@ -56,8 +57,7 @@ def test_full_caches_change_nothing(monkeypatch, library):
 def test_queries(spark, documents, library):
     rows = [(i * 3 % 70, t) for i, t in enumerate(odd_texts()[:60])] + [(5, "same"), (5, "same"), (None, "no id")]
     docs = documents(rows).selectExpr("*", "1 as n_tokens", "2 as start")
-    packed = lambda t: np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()
-    want = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, packed(r[1])))
+    want = [(r.doc_id, r.text or "") for r in docs.selectExpr("doc_id", "text", "xxhash64(text) as h").orderBy(F.col("doc_id").asc_nulls_first(), "h", "text").collect()]
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(docs, tokenizer_path()).collect()}
     ids = [library.encode(t, add_special_tokens=False).ids for _, t in want]
     sha = lambda x: hashlib.sha256(x).hexdigest()
