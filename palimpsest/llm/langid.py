@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .storage import few, map_batches, materialize
+from .storage import few, give_back, map_batches, materialize
 
 UNKNOWN = "und"
 #: The training sample: at most so many documents of a language, so many in all, and so many first characters of each.
@@ -144,15 +144,15 @@ def sample(docs: DataFrame) -> list[tuple[str, str, int]]:
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their shares."""
+    """Distinct buckets of a text and how often each occurs."""
     found = _distinct_words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
     if found is None:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     codes, words, _ = found
     buckets, count = subwords(words)
-    weight = np.bincount(buckets, np.repeat(np.bincount(codes), count), BUCKETS)
-    at = np.flatnonzero(weight)
-    return at, weight[at] / weight.sum()
+    times = np.bincount(buckets, np.repeat(np.bincount(codes), count), BUCKETS)
+    at = np.flatnonzero(times)
+    return at.astype(np.int32), times[at].astype(np.int32)
 
 
 def train(rows: list[tuple[str, str, int]]) -> Model:
@@ -169,7 +169,8 @@ def train(rows: list[tuple[str, str, int]]) -> Model:
     steps, done = epochs * len(learned), 0
     for _ in range(epochs):
         for i in rng.permutation(len(learned)):
-            at, share, label, _ = learned[i]
+            at, times, label, _ = learned[i]
+            share = times / times.sum()
             rate = RATE * (1 - done / steps)
             rows_ = embedding[at]
             x = share @ rows_
@@ -188,7 +189,7 @@ def train(rows: list[tuple[str, str, int]]) -> Model:
 def calibrate(model: Model, made: list[tuple[np.ndarray, np.ndarray, int, int]]) -> None:
     if not made:
         return
-    logits = np.stack([share @ model.table[at] + model.bias for at, share, _, _ in made])
+    logits = np.stack([times / times.sum() @ model.table[at] + model.bias for at, times, _, _ in made])
     truth = np.array([label for _, _, label, _ in made])
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean()
     model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
@@ -198,7 +199,9 @@ def calibrate(model: Model, made: list[tuple[np.ndarray, np.ndarray, int, int]])
 
 
 def fit(docs: DataFrame) -> Model:
-    return train(sample(docs))
+    model = train(sample(docs))
+    give_back()  # the driver outlives its training
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

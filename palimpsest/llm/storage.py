@@ -49,13 +49,18 @@ def bounded(spark: SparkSession) -> SparkSession:
 Batches = Iterator[pa.RecordBatch]
 
 
+def give_back() -> None:
+    """Return what this process freed to the system."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 def _frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     def held(batches: Batches) -> Batches:
         try:
             yield from run(batches)
         finally:  # workers are reused: what a task freed goes back to the system, not to the next stage's worker
-            pa.default_memory_pool().release_unused()
-            ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return held
 
