@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import words as W
-from .storage import map_batches
+from .storage import KEPT, map_batches
 
 _SPACES = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+")
@@ -236,6 +236,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, tuple[Vocabulary, WordEncoder]] = {}
+KEPT["encoders"] = _ENCODERS
 
 
 def encoder(path: str) -> tuple[Vocabulary, WordEncoder]:
@@ -259,7 +260,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", into: str = "to
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(begin, end - begin).columns, lists], [*names, into])
 
-    return map_batches(docs.select(*[f"`{n}`" for n in names]), run, schema)
+    return map_batches(docs.select(*[f"`{n}`" for n in names]), run, schema, "encoders")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -278,4 +279,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "encoders")

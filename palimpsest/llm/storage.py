@@ -49,14 +49,25 @@ def bounded(spark: SparkSession) -> SparkSession:
 Batches = Iterator[pa.RecordBatch]
 
 
+#: What workers keep from task to task, by the name of its kind.
+KEPT: dict[str, dict] = {}
+
+
 def give_back() -> None:
     """Return what this process freed to the system."""
     pa.default_memory_pool().release_unused()
     ctypes.CDLL(None).malloc_trim(0)
 
 
-def _frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+def forget_all_but(kind: str | None) -> None:
+    for cache in [cache for name, cache in KEPT.items() if name != kind and cache]:
+        cache.clear()
+        give_back()
+
+
+def _frugal(run: Callable[[Batches], Batches], keeps: str | None) -> Callable[[Batches], Batches]:
     def held(batches: Batches) -> Batches:
+        forget_all_but(keeps)
         try:
             yield from run(batches)
         finally:  # workers are reused: what a task freed goes back to the system, not to the next stage's worker
@@ -65,10 +76,12 @@ def _frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return held
 
 
-def map_batches(df: DataFrame, run: Callable[[Batches], Batches], schema: object) -> DataFrame:
-    """``df.mapInArrow`` whose batches are bounded in bytes and whose workers give memory back after each task."""
+def map_batches(df: DataFrame, run: Callable[[Batches], Batches], schema: object, keeps: str | None = None) -> DataFrame:
+    """``df.mapInArrow`` whose batches are bounded in bytes and whose workers give memory back after each task.
+
+    keeps: the kind of what its workers keep; they give back all other kinds."""
     bounded(df.sparkSession)
-    return df.mapInArrow(_frugal(run), schema)
+    return df.mapInArrow(_frugal(run, keeps), schema)
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:

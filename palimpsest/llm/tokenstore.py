@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .storage import map_batches, materialize, new_folder, open_fs
+from .storage import KEPT, map_batches, materialize, new_folder, open_fs
 
 END_ID = 1
 #: Ids in a row group, and bytes in a page: what a selective read takes at least.
@@ -33,6 +33,7 @@ GROUP_IDS, PAGE_BYTES = 1 << 20, 64 << 10
 BATCH_WORDS = 256
 
 _ENCODERS: dict[str, bpe.WordEncoder] = {}
+KEPT["library"] = _ENCODERS
 
 
 class LibraryEncoder(bpe.WordEncoder):
@@ -137,7 +138,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     by = [F.col("doc_id").asc_nulls_first(), F.col("h")]  # the hash splits a hot id's rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
     dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by, "text").select("doc_id", "text")
-    manifest = materialize(map_batches(dealt, run, MANIFEST), "token-manifest")
+    manifest = materialize(map_batches(dealt, run, MANIFEST, "library"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
