@@ -232,9 +232,9 @@ class VersionedTable:
         new = self._conform(rows)
         key = F.col(f"`{roles.group_by}`") if roles.group_by else F.lit(0)
         new = new.withColumns({"__g": key, "__at": F.monotonically_increasing_id()})
-        if on_conflict:
-            new = self._without_conflicts(new, list(on_conflict), [*order, "__at"])
         new = self._stash(new)  # read several times: the rows and their arrival ids must stay what they are
+        if on_conflict:
+            new = self._stash(self._without_conflicts(new, list(on_conflict), [*order, "__at"]))
         tails = self._read(state.paths("tail")).withColumn("__g", self._group_key())
         before = tails.select("__g", F.col("_hi").alias("__hi"), F.col("_base").alias("__tail_base"), (F.col("_epoch") == state.epoch).alias("__same"))
         counted = new.groupBy("__g").agg(F.count("*").alias("__n")).join(before, "__g", "left")
@@ -305,16 +305,24 @@ class VersionedTable:
             self._scratch = before
 
     def _without_conflicts(self, new: DataFrame, keys: list[str], order: list) -> DataFrame:
-        """Rows whose key no stored row has, the first of each key; a null in the key conflicts with nothing."""
+        """Rows whose key no stored row has, the first of each key; a null in the key conflicts with nothing.
+
+        A key with the group column can only be in files that hold one of the rows' chains: no other is read."""
         for name in keys:
             if name not in self.schema.names:
                 raise UnknownColumn(f'Column "{name}" does not exist in table "{self.name}"')
-        stored = self.df().select(*[F.col(f"`{n}`").alias(f"__k{i}") for i, n in enumerate(keys)])
+        paths = self.state.paths()
+        if self.roles.group_by in keys:
+            buckets = set(new.agg(F.collect_set(self._bucket(F.col("__g")))).first()[0])
+            paths = self._holding(self.state.paths(None, buckets), new.select("__g"))
+        stored = S.explode(self._read(paths), self.schema, self.state.physical, self.roles)
+        stored = stored.select(*[F.col(f"`{n}`").alias(f"__k{i}") for i, n in enumerate(keys)])
         equal = reduce(lambda a, b: a & b, [F.col(f"`{n}`") == F.col(f"__k{i}") for i, n in enumerate(keys)])
         fresh = new.join(stored, equal, "left_anti")
         some_null = reduce(lambda a, b: a | b, [F.col(f"`{n}`").isNull() for n in keys])
         first = F.row_number().over(Window.partitionBy(*[f"`{n}`" for n in keys]).orderBy(*order))
-        return fresh.withColumn("__nth", first).where((F.col("__nth") == 1) | some_null).drop("__nth")
+        whole = fresh.where(~some_null).withColumn("__nth", first).where("__nth = 1").drop("__nth")
+        return whole.unionByName(fresh.where(some_null))
 
     def _numbered_over_tasks(self, new: DataFrame, order: list[Column]) -> DataFrame:
         """__rn without bringing a chain into one task: sorted ranges, their counts, and a place in the range."""
