@@ -144,15 +144,15 @@ def sample(docs: DataFrame) -> list[tuple[str, str, int]]:
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and how often each occurs."""
+    """Distinct buckets of a text and how often each occurs, in as few bytes as hold them: the driver keeps the sample's."""
     found = _distinct_words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
     if found is None:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint16), np.zeros(0, np.uint16)
     codes, words, _ = found
     buckets, count = subwords(words)
     times = np.bincount(buckets, np.repeat(np.bincount(codes), count), BUCKETS)
     at = np.flatnonzero(times)
-    return at.astype(np.int32), times[at].astype(np.int32)
+    return at.astype(np.min_scalar_type(BUCKETS - 1)), times[at].astype(np.min_scalar_type(int(times.max())))
 
 
 def train(rows: list[tuple[str, str, int]]) -> Model:

@@ -6,6 +6,7 @@ Everything that one task writes and another reads lives below the folder that th
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import re
 import tempfile
@@ -13,6 +14,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,20 @@ def give_back() -> None:
     ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back_driver(spark: SparkSession) -> None:
+    """Return what the driver's JVM freed outside its heap to the system; a JVM that can't is left alone.
+
+    Hundreds of Spark's threads allocate there, each in one of many arenas, and what they free stays with the process."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    with contextlib.suppress(Py4JError):
+        server = jvm.java.lang.Class.forName("javax.management.MBeanServer")  # the public face of a class that isn't
+        invoke = next(m for m in server.getMethods() if m.getName() == "invoke")
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args[1] = "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 def forget_all_but(kind: str | None) -> None:
     for cache in [cache for name, cache in KEPT.items() if name != kind and cache]:
         cache.clear()
@@ -89,9 +105,11 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends here, and so does what the driver
+    held outside its heap for the job."""
     path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
+    give_back_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

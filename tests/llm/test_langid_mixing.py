@@ -177,3 +177,12 @@ def test_mix(documents):
 def test_mix_of_nothing(documents):
     assert mixing.mix(documents([])).count() == 0
     assert [r.taken for r in mixing.mix(documents([(1, None)])).collect()] == [0]
+
+
+def test_features_take_few_bytes():
+    """The driver keeps the features of the whole sample: two bytes a bucket, and no more for a count than it needs."""
+    at, times = langid.features("ein Wort und noch ein Wort")
+    assert at.itemsize == 2 and times.itemsize == 1 and times.max() > 1
+    at, times = langid.features("a " * 70_000 + "b")
+    assert at.itemsize == 2 and times.max() == 70_000 and abs((times / times.sum()).sum() - 1) < 1e-12
+    assert [len(x) for x in langid.features(" ")] == [0, 0]
