@@ -24,8 +24,10 @@ from ..operators import sections as S
 from ..schema import SEQUENCE, Roles, resolve
 from .store import Change, File, State, Store
 
-#: Rows of one chain beyond which an append numbers them over many tasks instead of in one window.
-HOT_ROWS = 1_000_000
+#: Rows of one chain, or bytes of their values, beyond which an append numbers them over many tasks instead of in one window.
+HOT_ROWS, HOT_BYTES = 1_000_000, 64 << 20
+#: Characters of a text by which rows are dealt to the ranges of such a numbering.
+RANGE_CHARS = 64
 #: Age from which vacuum takes a file that no commit names for one of an aborted write.
 ORPHAN_AGE_S = 7 * 86_400.0
 _NULL_GROUP, _NULL_DELTA = "NULL value not allowed in group column", "NULL value not allowed in delta column"
@@ -237,21 +239,26 @@ class VersionedTable:
             new = self._stash(self._without_conflicts(new, list(on_conflict), [*order, "__at"]))
         tails = self._read(state.paths("tail")).withColumn("__g", self._group_key())
         before = tails.select("__g", F.col("_hi").alias("__hi"), F.col("_base").alias("__tail_base"), (F.col("_epoch") == state.epoch).alias("__same"))
-        counted = new.groupBy("__g").agg(F.count("*").alias("__n")).join(before, "__g", "left")
+        counted = new.groupBy("__g").agg(F.count("*").alias("__n"), F.sum(self._width(new.schema)).alias("__bytes")).join(before, "__g", "left")
         hi = F.coalesce("__hi", F.lit(0).cast("long"))
         base = F.when(F.col("__hi").isNull(), 1).when(F.col("__same"), F.col("__tail_base")).otherwise(F.col("__hi") + 1).cast("long")
-        chains = self._stash(counted.select("__g", "__n", hi.alias("__hi"), base.alias("__base"), (hi + F.col("__n")).alias("__last")))
-        facts = chains.agg(F.max("__n"), F.sum("__n"), F.collect_set(self._bucket(F.col("__g")))).first()
+        chains = self._stash(counted.select("__g", "__n", hi.alias("__hi"), base.alias("__base"), (hi + F.col("__n")).alias("__last"), ((F.col("__n") > HOT_ROWS) | (F.col("__bytes") > HOT_BYTES)).alias("__hot")))
+        facts = chains.agg(F.count_if("__hot"), F.count("*"), F.collect_set(self._bucket(F.col("__g")))).first()
         if not facts[1]:
             return self.df().limit(0) if returning else None
-        buckets = set(facts[2])
+        buckets, hot = set(facts[2]), chains.where("__hot")
+        chains = chains.drop("__hot")
         if given:
             new, chains = self._numbered_as_given(new, chains, order)
-        elif facts[0] > HOT_ROWS:
-            new = self._numbered_over_tasks(new, order).join(chains, "__g").withColumn("__seq", F.col("__hi") + F.col("__rn"))
         else:
-            rank = F.row_number().over(Window.partitionBy("__g").orderBy(*order, "__at"))
-            new = new.withColumn("__rn", rank).join(chains, "__g").withColumn("__seq", F.col("__hi") + F.col("__rn"))
+            numbered = []
+            if facts[0]:  # hot chains are few: each has its share of the batch's rows or bytes
+                numbered.append(self._numbered_over_tasks(new.join(F.broadcast(hot.select("__g")), "__g", "left_semi"), arrival, order).join(F.broadcast(hot.drop("__hot")), "__g"))
+            if facts[0] < facts[1]:
+                rank = F.row_number().over(Window.partitionBy("__g").orderBy(*order, "__at"))
+                rest = new.join(F.broadcast(hot.select("__g")), "__g", "left_anti") if facts[0] else new
+                numbered.append(rest.withColumn("__rn", rank).join(chains, "__g"))
+            new = reduce(DataFrame.unionByName, numbered).withColumn("__seq", F.col("__hi") + F.col("__rn"))
         gaps = given and bool(chains.where("__least <= __hi").limit(1).count())
         if gaps and chains.where("__least < __base").limit(1).count():
             raise InvalidSequence("sequence numbers before a change of settings are closed")
@@ -264,7 +271,9 @@ class VersionedTable:
             old = old.withColumn("__was_tail", F.lit(True))
         sec = F.floor((F.col("__seq") - F.col("__base")) / k).cast("long")
         new = new.withColumn("_sec", sec).withColumn("_base", F.col("__base"))
-        touched = new.select("__g", "_base", "_sec").distinct().withColumn("__touched", F.lit(True))
+        first = F.floor((F.col("__hi") + 1 - F.col("__base")) / k).cast("long")  # unless numbers are given, a chain is open from there on
+        touched = new.select("__g", "_base", "_sec").distinct() if given else chains.select("__g", F.col("__base").alias("_base"), first.alias("_sec"))
+        touched = touched.withColumn("__touched", F.lit(True))
         old = old.join(touched, ["__g", "_base", "_sec"], "left").join(chains.select("__g", "__last"), "__g", "left")
         again = F.col("__touched") & (F.col("_epoch") == state.epoch)
         reopened = S.explode(old.where(again), self.schema, state.physical, roles, ("_base", "_sec", "__last"))
@@ -324,15 +333,32 @@ class VersionedTable:
         whole = fresh.where(~some_null).withColumn("__nth", first).where("__nth = 1").drop("__nth")
         return whole.unionByName(fresh.where(some_null))
 
-    def _numbered_over_tasks(self, new: DataFrame, order: list[Column]) -> DataFrame:
+    def _width(self, schema: T.StructType) -> Column:
+        """About how many bytes a row's values take."""
+        fixed = lambda kind: not isinstance(kind, T.StringType | T.BinaryType | T.ArrayType | T.MapType | T.StructType)
+        sizes = [F.coalesce(F.octet_length(c if isinstance(f.dataType, T.BinaryType) else c.cast("string")), F.lit(0)) for f in schema.fields if not fixed(f.dataType) for c in [F.col(f"`{f.name}`")]]
+        return reduce(lambda a, b: a + b, sizes, F.lit(8 * len(schema.fields)).cast("long"))
+
+    def _ranges(self, new: DataFrame, arrival: Sequence[str | Column] | None, order: list[Column]) -> list[Column]:
+        """What deals rows to ranges that follow ``order``: whole values of the columns before the first text, and its
+        beginning, as a sample of these values goes to the driver."""
+        by = [F.col("__g")]
+        for name, c in zip(arrival or [None] * len(order), order, strict=True):
+            if isinstance(name, str) and new.schema[name].dataType == T.StringType():
+                return [*by, F.substring(c, 1, RANGE_CHARS)]
+            by.append(c)
+        return [*by, F.col("__at")]
+
+    def _numbered_over_tasks(self, new: DataFrame, arrival: Sequence[str | Column] | None, order: list[Column]) -> DataFrame:
         """__rn without bringing a chain into one task: sorted ranges, their counts, and a place in the range."""
         by = ["__g", *order, "__at"]
-        placed = new.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"__part": F.spark_partition_id(), "__pos": F.monotonically_increasing_id()})
+        dealt = new.repartitionByRange(*self._ranges(new, arrival, order)).sortWithinPartitions(*by)
+        placed = dealt.withColumns({"__part": F.spark_partition_id(), "__pos": F.monotonically_increasing_id()})
         placed = self._stash(placed)
         pieces = placed.groupBy("__g", "__part").agg(F.min("__pos").alias("__first"), F.count("*").alias("__size"))
         earlier = Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
         pieces = pieces.withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0))).drop("__size")
-        joined = placed.join(pieces, ["__g", "__part"])
+        joined = placed.join(F.broadcast(pieces), ["__g", "__part"])  # no more than there are ranges and hot chains
         return joined.withColumn("__rn", F.col("__before") + F.col("__pos") - F.col("__first") + 1).drop("__part", "__pos", "__first", "__before")
 
     def _numbered_as_given(self, new: DataFrame, chains: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
