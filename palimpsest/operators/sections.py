@@ -7,6 +7,7 @@ Filters on the group reach the Parquet scan; columns that a query does not use a
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,10 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import CorruptChain, DuplicateSequence
+from ..errors import CorruptChain, DuplicateSequence, VersionedTableError
 from ..functions import codec
 from ..schema import SEQUENCE, Roles
 
+#: Bytes that a worker holds as Python objects at a time, besides one section.
+PIECE = 4 << 20
+#: Bytes of an Arrow array of strings.
+MOST = (1 << 31) - 1
+
 COUNTS = ("_lo", "_hi", "_base", "_sec", "_k", "_epoch", "_rows", "_keys", "_raw", "_stored")
 
 
@@ -39,32 +45,68 @@ def physical_schema(schema: T.StructType, physical: dict[str, str], roles: Roles
 # Decoding
 
 
+def _give_back() -> None:
+    """Return what this worker freed to the system: an idle one stays beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def _pieces(ends: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of sections of at most PIECE bytes, or of one section.  ends: where in ``size``, the sum of bytes up to each row,
+    each section begins, and the last one ends."""
+    at, start = size[ends], 0
+    while start < len(ends) - 1:
+        end = max(start + 1, int(np.searchsorted(at, at[start] + PIECE, "right")) - 1)
+        yield start, end
+        start = end
+
+
+def _upto(values: pa.Array) -> np.ndarray:
+    """The sum of the bytes of binary or string values before each row, and of all."""
+    return np.append(0, np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64))
+
+
 def _decode_lists(blobs: pa.ListArray, seqs: pa.ListArray, kind: pa.DataType) -> pa.Array:
+    """Values go, piece by piece, from Python's objects to the one buffer that the answer is made of."""
     decode = codec.decode
-    offsets, at = np.asarray(blobs.offsets), np.asarray(seqs.offsets)
-    flat, numbers = blobs.values.to_pylist(), seqs.values.to_numpy()
-    out: list[bytes | None] = []
-    for i in range(len(blobs)):
-        start, end = int(offsets[i]), int(offsets[i + 1])
-        if start == end:
-            continue
-        own = numbers[at[i] : at[i + 1]]
-        place = None if own[-1] - own[0] == len(own) - 1 else {s: j for j, s in enumerate(own.tolist())}
-        values: list[bytes | None] = []
-        for j, blob in enumerate(flat[start:end]):
-            if blob is None:
-                values.append(None)
+    offsets, at = np.asarray(blobs.offsets).astype(np.int64), np.asarray(seqs.offsets).astype(np.int64)
+    numbers, flat = seqs.values.to_numpy(), blobs.values.slice(offsets[0], offsets[-1] - offsets[0])
+    offsets = offsets - offsets[0]
+    data, sizes, known = bytearray(), np.zeros(len(flat), np.int64), np.ones(len(flat), bool)
+    for first, last in _pieces(offsets, _upto(flat)):
+        begin = int(offsets[first])
+        held = flat.slice(begin, int(offsets[last]) - begin).to_pylist()
+        for i in range(first, last):
+            start, end = int(offsets[i]), int(offsets[i + 1])
+            if start == end:
                 continue
-            tag = codec.tag_of(blob)
-            base = None
-            if tag:
-                b = j - tag if place is None else place.get(int(own[j]) - tag, -1)
-                if b < 0 or b >= j or values[b] is None:
-                    raise CorruptChain(f"invalid base sequence {int(own[j]) - tag} of sequence {int(own[j])}")
-                base = values[b]
-            values.append(decode(base, blob))
-        out += values
-    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(out, kind), mask=pc.is_null(blobs) if blobs.null_count else None)
+            own = numbers[at[i] : at[i + 1]]
+            place = None if own[-1] - own[0] == len(own) - 1 else {s: j for j, s in enumerate(own.tolist())}
+            values: list[bytes | None] = []
+            for j, blob in enumerate(held[start - begin : end - begin]):
+                if blob is None:
+                    values.append(None)
+                    known[start + j] = False
+                    continue
+                tag = codec.tag_of(blob)
+                base = None
+                if tag:
+                    b = j - tag if place is None else place.get(int(own[j]) - tag, -1)
+                    if b < 0 or b >= j or values[b] is None:
+                        raise CorruptChain(f"invalid base sequence {int(own[j]) - tag} of sequence {int(own[j])}")
+                    base = values[b]
+                value = decode(base, blob)
+                values.append(value)
+                data += value
+                sizes[start + j] = len(value)
+            if len(data) > MOST:
+                raise VersionedTableError("a batch of sections has more than 2 GB of values", "lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    _give_back()
+    valid = None if known.all() else pa.py_buffer(np.packbits(known, bitorder="little"))
+    bounds = pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32))
+    values = pa.Array.from_buffers(kind, len(flat), [valid, bounds, pa.py_buffer(data)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pc.is_null(blobs) if blobs.null_count else None)
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -207,27 +249,40 @@ def encode(rows: DataFrame, schema: T.StructType, physical: dict[str, str], role
         arrays += [columns[-1].take(pa.array(heads))] if carry else []
         return pa.RecordBatch.from_arrays(arrays, out.names)
 
+    def whole_sections(done: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(done).combine_chunks() if len(done) > 1 else pa.Table.from_batches(done)
+        if not table.num_rows:
+            return
+        batch = table.to_batches()[0]
+        size = sum(_upto(batch.column(i)) for i in range(first + 1 + n_plain, first + 1 + n_plain + len(roles.delta)))
+        edges = np.append(_section_edges(batch.columns[:first]), batch.num_rows)
+        for a, b in _pieces(edges, size):
+            yield sections(pa.Table.from_batches([batch.slice(int(edges[a]), int(edges[b] - edges[a]))]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # of the section that goes on
         for batch in batches:
             if not batch.num_rows:
                 continue
             edges = _section_edges(batch.columns[:first])
             if held:
                 last = [pa.concat_arrays([held[-1].column(i).slice(held[-1].num_rows - 1), batch.column(i).slice(0, 1)]) for i in range(first)]
-                if len(_section_edges(last)) == 2:
-                    edges = edges.copy()
-                else:
+                if len(_section_edges(last)) < 2:
                     edges = edges[1:]
-            if not len(edges):
-                held.append(batch)
-                continue
-            done = held + ([batch.slice(0, int(edges[-1]))] if edges[-1] else [])
-            if done:
-                yield sections(pa.Table.from_batches(done))
-            held = [batch.slice(int(edges[-1]))]
+            if len(edges):
+                cut = int(edges[-1])
+                if held:  # the section that went on is whole
+                    yield from whole_sections([*held, batch.slice(0, int(edges[0]))])
+                    held = []
+                yield from whole_sections([batch.slice(int(edges[0]), cut - int(edges[0]))])
+            else:
+                cut = 0
+            held.append(batch.take(pa.array(np.arange(cut, batch.num_rows))))  # a copy: a slice would hold the whole batch
+            del batch
         if held:
-            yield sections(pa.Table.from_batches(held))
+            yield from whole_sections(held)
+        held.clear()
+        _give_back()
 
     dealt = flat.repartition(*key).sortWithinPartitions(*key, "_seq")
     made = dealt.mapInArrow(run, out)
