@@ -9,6 +9,7 @@ import tracemalloc
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.conf import TableConfig
 from palimpsest.functions import codec
@@ -81,3 +82,17 @@ def test_decoding_keeps_nulls_and_empty_values():
     out.validate(full=True)
     assert out.to_pylist() == texts
     assert S._decode_lists(lists.slice(3), seqs.slice(3), pa.string()).to_pylist() == texts[3:]
+
+
+def test_a_table_without_groups_is_numbered_over_tasks(spark, catalog, numbered):
+    """One chain of far fewer than a million rows, but of many bytes, is not one task's."""
+    schema = T.StructType.fromDDL("page_id BIGINT, url STRING, html STRING NOT NULL")
+    config = TableConfig(order_by="page_id", delta_columns=("html",), keyframe_every=20)
+    t = VersionedTable.create(spark, catalog._path("p"), schema, config)
+    rows = [(i // 2, f"u{i % 2}", f"<p>{i}</p>" * 20) for i in range(600)]
+    mixed = rows[:]
+    random.Random(5).shuffle(mixed)
+    t.append(spark.createDataFrame(mixed, "page_id BIGINT, url STRING, html STRING"), arrival=["page_id", "url"])
+    assert [tuple(r) for r in t.df().orderBy(SEQUENCE).collect()] == [(*r, i) for i, r in enumerate(rows, 1)]
+    assert [chains for chains, _ in numbered] == [{0}]
+    assert all(max(each) < 0.6 * sum(each) for _, each in numbered)
