@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from palimpsest.conf import TableConfig
 from palimpsest.functions import codec
 from palimpsest.operators import sections as S
-from palimpsest.schema import SEQUENCE
+from palimpsest.schema import SEQUENCE, resolve
 from palimpsest.sources import table as table_module
 from palimpsest.sources.table import VersionedTable
 
@@ -96,3 +96,33 @@ def test_a_table_without_groups_is_numbered_over_tasks(spark, catalog, numbered)
     assert [tuple(r) for r in t.df().orderBy(SEQUENCE).collect()] == [(*r, i) for i, r in enumerate(rows, 1)]
     assert [chains for chains, _ in numbered] == [{0}]
     assert all(max(each) < 0.6 * sum(each) for _, each in numbered)
+
+
+@pytest.fixture
+def encoder(spark, monkeypatch):
+    """What workers run on batches to encode sections of K = 3, in this process; and a maker of its batches."""
+    frame, made = type(spark.range(1)), []
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, *rest, **more: made.append(run) or plain(self, run, *rest, **more))
+    schema = T.StructType.fromDDL("id BIGINT, version BIGINT, text STRING")
+    rows = spark.createDataFrame([], f"id BIGINT, version BIGINT, text STRING, _base BIGINT, _sec BIGINT, {SEQUENCE} BIGINT")
+    S.encode(rows, schema, {n: n for n in schema.names}, resolve(schema, TableConfig(group_by="id", order_by="version")), 3, 1, True, 0)
+
+    def batch(first, n):
+        texts = [os.urandom(5_000).hex() for _ in range(n)]
+        numbers = range(first, first + n)
+        whole = [[1] * n, [1] * n, [i // 3 for i in numbers], [i + 1 for i in numbers], list(numbers)]
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in whole), pa.array(texts)], ["g_id", "_base", "_sec", "_seq", "p_version", "d_text"])
+
+    return made[0], batch
+
+
+def test_a_batch_of_rows_is_encoded_piece_by_piece(encoder):
+    run, batch = encoder
+    parts = [batch(0, 2000), batch(2000, 1), batch(2001, 1)]
+    tracemalloc.start()
+    rows = sum(sum(out.column("_rows").to_pylist()) for out in run(iter(parts)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2002
+    assert most < 0.7 * parts[0].nbytes
