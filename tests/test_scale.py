@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import random
 import tracemalloc
@@ -126,3 +127,21 @@ def test_a_batch_of_rows_is_encoded_piece_by_piece(encoder):
     tracemalloc.stop()
     assert rows == 2002
     assert most < 0.7 * parts[0].nbytes
+
+
+def test_an_open_section_does_not_keep_the_batch_it_began_in(encoder):
+    run, batch = encoder
+    left, before = [], pa.total_allocated_bytes()
+
+    def source():
+        for i in range(3):
+            part = batch(i * 500, 500)  # 500 is no multiple of three: a section goes on in the next batch
+            size = part.nbytes
+            yield part
+            del part
+            gc.collect()
+            left.append((pa.total_allocated_bytes() - before) / size)
+
+    found = [r for out in run(source()) for r in out.select(["_sec", "_rows"]).to_pylist()]
+    assert [r["_sec"] for r in found] == list(range(500)) and {r["_rows"] for r in found} == {3}
+    assert max(left) < 0.1
